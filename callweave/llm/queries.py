@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm.common import documents
+from callweave.llm.sentence_pieces import digests
 from callweave.llm.simhash_dedup import near_duplicates
 from callweave.llm.token_counts import count_tokens
 
@@ -30,3 +31,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
