@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm.common import documents
+from callweave.llm.quality_rules import apply_rules, train
 from callweave.llm.sentence_pieces import digests
 from callweave.llm.simhash_dedup import near_duplicates
 from callweave.llm.token_counts import count_tokens
@@ -36,3 +37,9 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return apply_rules(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
