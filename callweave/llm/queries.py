@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.llm import language_id
 from callweave.llm.common import documents
 from callweave.llm.quality_rules import apply_rules, train
 from callweave.llm.sentence_pieces import digests
@@ -43,3 +44,9 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return apply_rules(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.train(docs))
