@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import language_id
+from callweave.llm import language_id, secret_scans
 from callweave.llm.common import documents
 from callweave.llm.quality_rules import apply_rules, train
 from callweave.llm.sentence_pieces import digests
@@ -50,3 +50,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language_id.identify(docs, language_id.train(docs))
+
+
+@query
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scans.scan(documents(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scans.as_text(F.col("base_spans")), 256).alias("base_sha256"), secret_scans.as_text(F.col("spans")).alias("spans"))
+
+
+ORACLES["op7_secret_scans"] = secret_scans.oracle()
