@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import language_id, secret_scans
+from callweave.llm import language_id, license_scans, secret_scans
 from callweave.llm.common import documents
 from callweave.llm.quality_rules import apply_rules, train
 from callweave.llm.sentence_pieces import digests
@@ -59,3 +59,11 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_secret_scans"] = secret_scans.oracle()
+
+
+@query
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans.scan(documents(spark, sf_dir))
+
+
+ORACLES["op5_license_scans"] = license_scans.oracle()
