@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from callweave.llm import language_id, license_scans, secret_scans
 from callweave.llm.common import documents
+from callweave.llm.line_dedup import dedup_lines
+from callweave.llm.mixing import mix
 from callweave.llm.quality_rules import apply_rules, train
 from callweave.llm.sentence_pieces import digests
 from callweave.llm.simhash_dedup import near_duplicates
@@ -67,3 +69,13 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_license_scans"] = license_scans.oracle()
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select("doc_id", "source", "n_tokens", "weight", "epoch", "block_key")
