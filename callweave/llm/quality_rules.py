@@ -213,6 +213,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     return Classifier(np.frombuffer(r.words, np.float32), np.frombuffer(r.chars, np.float32), r.bias, r.slope, r.shift)
 
 
+def keep_rows(docs: DataFrame, model: Classifier, threshold: float = 0.5, min_words: int = 50, max_repeat: int = 50, text: str = "text") -> DataFrame:
+    """The rows of docs that apply_rules keeps, unchanged, without a shuffle."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in slices(pa.RecordBatch.from_arrays(batch.columns, [str(i) for i in range(batch.num_columns)]), str(at)):
+                kept = [not _base_failed(t, min_words, max_repeat) and model.probability(t) >= threshold for t in map(measure, texts)]
+                yield pa.RecordBatch.from_arrays(rows.filter(pa.array(kept, pa.bool_())).columns, batch.schema.names)
+
+    return spread(docs).mapInArrow(run, docs.schema)
+
+
+def _base_failed(t: Text, min_words: int, max_repeat: int) -> bool:
+    return t.n_words < min_words or 100 * t.n_repeat_words > max_repeat * t.n_words
+
+
 def apply_rules(docs: DataFrame, model: Classifier, threshold: float = 0.5, min_words: int = 50, max_repeat: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality).
 
@@ -226,7 +243,7 @@ def apply_rules(docs: DataFrame, model: Classifier, threshold: float = 0.5, min_
             for rows, texts in slices(batch):
                 out = []
                 for t in map(measure, texts):
-                    failed = t.n_words < min_words or 100 * t.n_repeat_words > max_repeat * t.n_words
+                    failed = _base_failed(t, min_words, max_repeat)
                     p = model.probability(t)
                     out.append((t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, not failed and p >= threshold, p))
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c) for c in zip(*out, strict=True))], names)

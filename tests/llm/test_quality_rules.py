@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from callweave.llm.quality_rules import apply_rules, measure, platt, repeated, train
+from callweave.llm.quality_rules import apply_rules, keep_rows, measure, platt, repeated, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,3 +69,12 @@ def test_platt_recovers_a_curve():
     y = (rng.random(20000) < 1 / (1 + np.exp(-(0.7 * x - 0.4)))).astype(float)
     a, b = platt(x, y)
     assert abs(a - 0.7) < 0.05 and abs(b + 0.4) < 0.08
+
+
+def test_kept_rows_are_those_that_the_rules_keep(spark):
+    rows, labels = corpus(120, 3)
+    docs = spark.createDataFrame([*rows, (500, None, 1), (501, "a b", None)], "doc_id long, text string, kept long")
+    model = train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    want = {r.doc_id for r in apply_rules(docs, model).where("kept").collect()}
+    got = keep_rows(docs, model)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == want and want
