@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from callweave.llm import language_id, license_scans, secret_scans
 from callweave.llm.common import documents
+from callweave.llm.image_copies import find_copies, images_of
 from callweave.llm.line_dedup import dedup_lines
 from callweave.llm.mixing import mix
 from callweave.llm.quality_rules import apply_rules, train
@@ -79,3 +80,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "source", "n_tokens", "weight", "epoch", "block_key")
+
+
+@query
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_copies(images_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
