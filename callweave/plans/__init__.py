@@ -1,0 +1 @@
+"""Chains of stages, and the operators as registered queries."""
