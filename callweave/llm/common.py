@@ -1,26 +1,13 @@
-"""Helpers shared by the operators: cutting lineage, batches of texts, connected components."""
+"""Helpers shared by the operators: tables, batches of texts, cutting lineage, components."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read back.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) is a temporary one made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="callweave-"))
-    return df.checkpoint()
+from callweave.functions.components import components, cut  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,36 +29,3 @@ def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, where a small input has fewer."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): each node of an edge with the smallest node that it reaches.
-
-    Alternates two local steps until nothing changes: every node links its larger neighbours to
-    its smallest one, then its smaller ones (itself included) to the smallest. Each round is a
-    pre-aggregated minimum and an equi-join, whose hot keys the engine can split; lineage is cut
-    each round. Rows with a null end and loops are ignored; a node without edges isn't returned.
-    """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    e = cut(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("low", "u").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-            .select("x.*")
-            .where("u <> v")
-            .distinct()
-        )
-        new = cut(small)
-        # equal edge sets have equal counts and sums of hashes
-        sign = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign(new) == sign(e):
-            break
-        e = new
-    low = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    roots = e.select(F.col("v").alias("node")).distinct().join(low, "node", "left_anti").select("node", F.col("node").alias("component"))
-    return low.union(roots)
