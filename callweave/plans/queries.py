@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from callweave.plans import stats_queries  # noqa: F401
+from callweave.plans import archive_queries, stats_queries  # noqa: F401

@@ -105,9 +105,9 @@ def q9_search_calls(spark, d):
     return stats.search_calls(fx.calls(spark, d), fx.segments(spark, d), fx.contacts(spark, d), q="the", contact="contact_1")
 
 
-@query(_search("call_time >= TIMESTAMP '2024-01-02' AND call_time < TIMESTAMP '2024-01-21' AND status = 'analyzed' AND s.who = 'other'", "LIMIT 10 OFFSET 10"))
+@query(_search("call_time >= TIMESTAMP '2024-01-01' AND call_time < TIMESTAMP '2024-01-21' AND status IN ('analyzed') AND s.who = 'other'", "LIMIT 5 OFFSET 5"))
 def q9_search_calls_dated(spark, d):
-    return stats.search_calls(fx.calls(spark, d), fx.segments(spark, d), fx.contacts(spark, d), who="other", date_from="2024-01-02", date_to="2024-01-20", status="analyzed", dup="all", page=2, size=10)
+    return stats.search_calls(fx.calls(spark, d), fx.segments(spark, d), fx.contacts(spark, d), who="other", date_from="2024-01-01", date_to="2024-01-20", status="analyzed", dup="all", page=2, size=5)
 
 
 @query(f"""{W}, x AS (SELECT call_id, string_agg(idx || ':' || who || ':' || coalesce(name, '-') || ':' || text_zh, '|' ORDER BY idx, s.id) AS t FROM segments s LEFT JOIN contacts c ON c.id = s.contact_id GROUP BY 1)
