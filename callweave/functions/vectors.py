@@ -36,7 +36,7 @@ def sums(rows: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame
                 np.add.at(total, code, m)
                 yield keys.assign(total=list(total), n=np.bincount(code))
 
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         row = dict(zip(by, key, strict=True)) | {"total": np.sum([np.asarray(v) for v in pdf["total"]], axis=0), "n": int(pdf["n"].sum())}
         return pd.DataFrame([row])
 

@@ -66,7 +66,7 @@ def bootstrap_me(centroids: DataFrame, threshold: float = 0.55, min_calls: int =
 
     shard = F.pmod(F.xxhash64("call_id"), F.lit(shards))
     parts = centroids.withColumn("shard", shard).groupBy("shard").applyInPandas(local, "mean array<double>, n long, calls long, first long")
-    top = parts.groupBy(F.lit(1)).applyInPandas(merge, "mean_embedding array<double>, n_samples long")
+    top = parts.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(merge, "mean_embedding array<double>, n_samples long")
     total = centroids.agg(F.count_distinct("call_id").alias("total"))
     return top.join(total).where((F.col("total") >= min_calls) & (F.col("n_samples") >= F.greatest(F.lit(3), F.floor(F.col("total") * 0.2)))).drop("total")
 
