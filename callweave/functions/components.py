@@ -31,7 +31,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     e = cut(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
+    # equal edge sets have equal counts and sums of hashes
+    sign = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = sign(e)
+    while seen[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("low", "u").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -44,11 +47,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         new = cut(small)
-        # equal edge sets have equal counts and sums of hashes
-        sign = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign(new) == sign(e):
-            break
+        now = sign(new)
         e = new
+        if now == seen:
+            break
+        seen = now
     low = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     roots = e.select(F.col("v").alias("node")).distinct().join(low, "node", "left_anti").select("node", F.col("node").alias("component"))
     return low.union(roots)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callweave.functions.components import cut
 from callweave.functions.text import apply_summaries, call_fulltext
 from callweave.operators import dedup, graph, identity, lines, transcripts
 from callweave.sources.recordings import incremental_scan, refresh_hints
@@ -12,6 +13,11 @@ from callweave.sources.recordings import incremental_scan, refresh_hints
 Tables = dict[str, DataFrame]
 
 
+def settled(t: Tables, *names: str) -> Tables:
+    """The tables with some of them written and read back, so that the next stage's plan starts there."""
+    return t | {k: cut(t[k]) for k in names}
+
+
 def scan_and_dedup(t: Tables, listing: DataFrame, source_id: int | None = None) -> Tables:
     """New and changed files become pending calls with parsed names; duplicates are marked."""
     scanned = incremental_scan(listing, t["calls"], source_id).drop("mtime", "action")
@@ -58,7 +64,8 @@ def relate(t: Tables, responses: DataFrame | None = None) -> Tables:
 
 def run_chain(t: Tables, listing: DataFrame, results: DataFrame | None = None, responses: DataFrame | None = None) -> Tables:
     """Scan and dedup before any expensive work, refined text next, then align, lines and graph."""
-    t = scan_and_dedup(t, listing)
+    t = settled(scan_and_dedup(t, listing), "calls")
     if results is not None:
         t = t | {"segments": transcripts.fold_refined(t["segments"], transcripts.latest_complete(results, t["segments"]))}
-    return relate(split_lines(align(t)), responses)
+    t = settled(align(t), "segments", "contacts", "voiceprints")
+    return relate(settled(split_lines(t), "segments", "contacts", "voiceprints"), responses)
