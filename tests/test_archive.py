@@ -121,7 +121,7 @@ def test_line_with_two_voices_is_split(spark):
     calls = spark.createDataFrame([(i, "line", "shared_line", "95588", None) for i in range(6)], "id long, contact_hint string, line_kind string, phone string, dup_of long")
     c = lines.split_decision(lines.cluster_line(cents, calls))
     assert sorted(r.n_calls for r in c.collect()) == [3, 3]
-    seats = spark.createDataFrame([("line", 9, [1.0, 0, 0, 0], "line·A")], "contact_hint string, seat_id long, mean array<double>, name string")
+    seats = spark.createDataFrame([("line", 9, [1.0, 0.0, 0.0, 0.0], "line·A")], "contact_hint string, seat_id long, mean array<double>, name string")
     claimed = lines.reuse_seats(c, seats)
     seg = spark.createDataFrame([(i, i, "other", "我叫李明") for i in range(1, 6, 2)], "call_id long, idx int, who string, text_zh string")
     named = {r.cluster: (r.seat_id, r.name) for r in lines.name_seats(c, seg, claimed, seats).collect()}
