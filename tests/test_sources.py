@@ -62,7 +62,7 @@ def test_streamed_scan_feeds_the_batch_one(spark, tmp_path):
 
 def test_whole_chain(spark):
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(i, f"/r/{i}.wav", f"Ann {i}_20240101_1000{i:02d}.wav", "Ann", "13800138000", t0, 60.0 + i, 100 + i, "transcribed", None, None, None, 1, None, None, f"/w/{i}", None, None) for i in range(6)]
+    rows = [(i, f"/r/{i}.wav", f"Ann {i}_20240101_1000{i:02d}.wav", "Ann", "13800138000", t0, 60.0 + 10 * i, 100 + i, "transcribed", None, None, None, 1, None, None, f"/w/{i}", None, None) for i in range(6)]
     calls = spark.createDataFrame(rows, CALLS)
     vec = lambda me: [1.0, 0.0, 0.1] if me else [0.0, 1.0, 0.1]
     seg = spark.createDataFrame([(c * 10 + k, c, k, str(k % 2), "unknown", None, None, k * 1000, k * 1000 + 900, "hello", vec(k % 2 == 0)) for c in range(6) for k in range(4)], "id long, call_id long, idx int, spk_local string, who string, contact_id long, contact_conf double, start_ms long, end_ms long, text_zh string, embedding array<double>")
