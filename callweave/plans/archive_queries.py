@@ -372,3 +372,75 @@ def s9_graph_elements(spark, d):
 def g8_event_timeline(spark, d):
     calls, _, _, _, ev, _ = _graph(spark, d)
     return graph.event_timeline(ev, calls)
+
+
+# -- parts of names and lines of text -------------------------------------------------------------
+
+
+def _stamped(spark, d, fmt, head="", tail=""):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select(F.col("event_id").alias("id"), F.concat(F.lit(head), F.date_format("ts", fmt), F.lit(tail)).alias("s"), "user_id")
+
+
+def _ntz(c):
+    return c.cast("timestamp_ntz")
+
+
+@query("SELECT event_id AS id, '13' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS squashed FROM events")
+def t1_squash_spaced_digits(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    n = F.concat(F.lit("13"), F.lpad(F.col("user_id").cast("string"), 9, "0"))
+    spaced = F.concat_ws(" ", F.substring(n, 1, 3), F.substring(n, 4, 4), F.substring(n, 8, 4))
+    return e.select(F.col("event_id").alias("id"), tx.squash_spaced_digits(spaced).alias("squashed"))
+
+
+@query("SELECT event_id AS id, date_trunc('second', ts) AS t FROM events")
+def t2_parse_stamp_pair(spark, d):
+    return _stamped(spark, d, "HHmmss_yyMMdd", "Calling_").select("id", _ntz(tx.parse_stamp_pair(F.col("s"))).alias("t"))
+
+
+@query("SELECT event_id AS id, date_trunc('second', ts) AS t FROM events")
+def t3_parse_cn_date(spark, d):
+    return _stamped(spark, d, "yyyy年M月d日 HH.mm.ss", "通话 ").select("id", _ntz(tx.parse_cn_date(F.col("s"))).alias("t"))
+
+
+@query("SELECT event_id AS id, date_trunc('second', ts) AS t FROM events")
+def t5_parse_date_time(spark, d):
+    return _stamped(spark, d, "yyyy-MM-dd_HH.mm.ss", "REC_").select("id", _ntz(tx.parse_date_time(F.col("s"))).alias("t"))
+
+
+@query("SELECT event_id AS id, CAST(13800000000 + user_id AS VARCHAR) AS phone, CASE WHEN user_id % 2 = 0 THEN '95588' ELSE '4001234567' END AS hotline FROM events")
+def t6_t7_phone_and_hotline(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    n = F.concat(F.lit("010-62345678 +86 "), (F.col("user_id") + 13800000000).cast("string"))
+    h = F.when(F.col("user_id") % 2 == 0, F.lit("desk 95588 1")).otherwise(F.lit("95588 or 4001234567"))
+    return e.select(F.col("event_id").alias("id"), tx.extract_phone(n).alias("phone"), tx.extract_hotline(h).alias("hotline"))
+
+
+@query("SELECT event_id AS id, '张伟' || CASE WHEN user_id % 2 = 0 THEN '明' ELSE '' END AS name, 'user_' || user_id AS pattern_name FROM events")
+def t8_t9_names(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    s = F.concat(F.lit("录音张伟"), F.when(F.col("user_id") % 2 == 0, "明").otherwise(""), F.lit(" x user_"), F.col("user_id").cast("string"), F.lit("-"))
+    return e.select(F.col("event_id").alias("id"), tx.cjk_name(s).alias("name"), tx.apply_name_patterns(s, ["(", r"(?P<name>user_\d+)-"])["name"].alias("pattern_name"))
+
+
+@query("SELECT event_id AS id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'A' || lpad(CAST(user_id AS VARCHAR), 4, '0') END AS label, CASE WHEN user_id % 4 = 0 THEN 'shared_line' ELSE 'person' END AS kind FROM events")
+def t12_t13_lines_and_seats(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    said = F.when(F.col("user_id") % 3 == 0, "我是应该客服").otherwise(F.concat(F.lit("您好，工号是A"), F.lpad(F.col("user_id").cast("string"), 4, "0")))
+    name = F.when(F.col("user_id") % 4 == 0, "某某银行").otherwise("张伟")
+    return e.select(F.col("event_id").alias("id"), tx.extract_seat_label(said).alias("label"), tx.classify_line(name, F.lit(None).cast("string")).alias("kind"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents")
+def t14_strip_tags(spark, d):
+    t = spark.read.parquet(f"{d}/documents.parquet")
+    return t.select("doc_id", tx.strip_tags(F.concat(F.lit("<|en|><|NEUTRAL|> "), "text")).alias("text"))
+
+
+@query()
+def s1_list_recordings(spark, d):
+    from callweave.sources.recordings import list_recordings
+
+    files = list_recordings(spark, d, [".parquet"])
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
