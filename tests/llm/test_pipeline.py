@@ -47,3 +47,10 @@ def test_stages_take_empty_and_odd_tables(spark):
         for name, stage in corpus_pipeline.STAGES:
             table = stage(spark, table, SF)
             assert table.count() >= 0, name
+
+
+def test_line_stage_finds_lines_whose_words_differ(spark):
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, line, "en", "a", 1), (2, line.replace("delta", "dalto").replace("zeta", "zita"), "en", "a", 1)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    assert {r.doc_id: r.text for r in stage(spark, docs, SF).collect()} == {1: line, 2: ""}
