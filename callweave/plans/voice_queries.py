@@ -364,6 +364,13 @@ def s5_sampled_fingerprint(spark, d):
     return recordings.sampled_fingerprint(files, files.where("path % 2 = 0")).join(files.where(f"length <= {recordings.SLICE}").select("path"), "path", "left_semi")
 
 
+@query()
+def s5_sampled_fingerprint_all(spark, d):
+    """Every file, of any length; SQL says only the short ones of s5_sampled_fingerprint."""
+    files = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    return recordings.sampled_fingerprint(files, files)
+
+
 @query(f"""{W} SELECT call_id, s.id AS seg_id, wav_path AS wav, start_ms, end_ms, substr(trim(concat_ws(' ', contact_hint, phone)), 1, 80) AS context FROM calls c JOIN segments s ON s.call_id = c.id
 WHERE dup_of IS NULL AND status IN ('transcribed','analyzed') AND wav_path IS NOT NULL AND c.id % 7 <> 0""")
 def s6_refine_jobs(spark, d):

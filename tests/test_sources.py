@@ -73,3 +73,18 @@ def test_whole_chain(spark):
     assert t["calls"].count() == 7
     assert {(r.who, r.contact_id) for r in t["segments"].where("spk_local = '1'").collect()} == {("other", 1)}
     assert t["edges"].where("kind = 'talked'").first().weight == 12
+
+
+def test_fingerprint_query_takes_every_file(spark, tmp_path):
+    import hashlib
+
+    from callweave.registry import QUERIES
+    from callweave.plans import queries  # noqa: F401  registers
+
+    texts = ["", "abc", "é" * rec.SLICE, "x" * (rec.SLICE + 1), "ab" * rec.SLICE + "tail", "head" + "é" * 2 * rec.SLICE]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.path: r.probe_key for r in QUERIES["s5_sampled_fingerprint_all"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        b = t.encode()
+        assert got[i] == hashlib.sha256(str(len(b)).encode() + b[: rec.SLICE] + (b[-rec.SLICE :] if len(b) > 2 * rec.SLICE else b"")).hexdigest(), i
+    assert len(got) == len(texts)
