@@ -74,7 +74,7 @@ ORACLES["op5_license_scans"] = license_scans.oracle()
 
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir), radius=None).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(documents(spark, sf_dir), radius=None, min_words=1).select("doc_id", "text", "n_lines", "n_removed")
 
 
 @query
