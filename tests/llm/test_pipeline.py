@@ -21,7 +21,7 @@ def test_stages_equal_brute_force(spark):
 
     second = corpus_pipeline.line_dedup(spark, first, SF)
     rows = second.collect()
-    gone = slow(a)
+    gone = slow(spark, a)
     assert second.columns == columns and all(r.n_chars == len(r.text) for r in rows)
     b = {k: "\n".join(x for no, x in enumerate(t.split("\n")) if (k, no) not in gone) for k, t in a}
     assert {r.doc_id: r.text for r in rows} == b
