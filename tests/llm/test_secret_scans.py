@@ -60,3 +60,19 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string").where("doc_id > 0")
     plan = scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_very_long_runs_of_each_kind(spark):
+    """A hundred thousand labels or a million characters of any pattern: no crash, and the base spans."""
+    texts = ["x@a" + ".b" * 100_000, "a." * 100_000 + "@b.c", "10." * 300_000, "http://" + "a/" * 500_000, "jdbc:" * 200_000, "a" * 1_000_000, "9" * 1_000_000, "aB3" * 300_000, "AKIA" * 250_000, "token=" * 150_000, "secret " + " " * 1_000_000 + "= abcdef"]
+    got = {r.doc_id: r for r in run(spark, [(i, t, None, 0) for i, t in enumerate(texts)])}
+    for i, t in enumerate(texts):
+        assert got[i].base == slow_base(t), i
+    assert got[0]["all"] == "" and got[3]["all"] == ""
+
+
+def test_mail_stops_at_an_empty_label(spark):
+    key = " with Zx81kLm20QwErT77"
+    texts = [f"login a.b@c.example..com{key}", f"login a@b.c.{key}", f"login a@b{key}"]
+    got = {r.doc_id: r["all"] for r in run(spark, [(i, t, None, 0) for i, t in enumerate(texts)])}
+    assert got[0].startswith("mail:6:19,") and got[1].startswith("mail:6:11,") and "mail" not in got[2]
