@@ -14,6 +14,10 @@ from callweave.operators.stats import live
 
 #: Contacts up to which their centroids are broadcast as one matrix; beyond, an equi-join over blocks.
 FEW_CONTACTS = 100_000
+#: Bytes of centroids up to which they are broadcast.
+FEW_BYTES = 64 << 20
+#: Rows of a shard of greedy clustering, shards that are merged at a time, clusters of a shard that go on.
+SHARD, FAN, KEPT = 20_000, 16, 500
 ALIAS = "同一人还有："
 
 
@@ -35,12 +39,19 @@ def diarize(segments: DataFrame, k: int = 2) -> DataFrame:
     return segments.select("call_id", "id", "start_ms", doubles(F.col("embedding")).alias("embedding")).groupBy("call_id").applyInPandas(run, "id long, speaker int")
 
 
-def bootstrap_me(centroids: DataFrame, threshold: float = 0.55, min_calls: int = 5, shards: int = 1) -> DataFrame:
+def _shards(rows: DataFrame, shards: int | None) -> int:
+    """The given number of shards, else one for every SHARD rows."""
+    return shards or max(1, -(-rows.count() // SHARD))
+
+
+def bootstrap_me(centroids: DataFrame, threshold: float = 0.55, min_calls: int = 5, shards: int | None = None) -> DataFrame:
     """(mean_embedding, n_samples): the voice of the most calls; no row if that isn't clear.
 
-    Centroids in order of call and label are clustered by first fit within shards of calls, whose
-    clusters, largest first, are then clustered by first fit of their means. One shard gives the
-    plain answer; more keep any one task small.
+    Centroids in order of call and label are clustered by first fit within shards of calls, which
+    grow in number with the input; clusters of FAN shards at a time, largest first, are clustered by
+    first fit of their means, until one shard is left. Of a shard the KEPT clusters of the most
+    calls go on: the owner's is the largest of nearly all, or isn't clear. One shard gives the plain
+    answer.
     """
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -52,21 +63,26 @@ def bootstrap_me(centroids: DataFrame, threshold: float = 0.55, min_calls: int =
             mean, n = m[lab == k][0], 1
             for v in m[lab == k][1:]:
                 mean, n = norm(mean * n + v), n + 1
-            rows.append((mean, n, pdf["call_id"][lab == k].nunique(), pdf["call_id"].iloc[int(np.argmax(lab == k))]))
-        return pd.DataFrame(rows, columns=["mean", "n", "calls", "first"])
+            rows.append((pdf["shard"].iloc[0], mean, n, pdf["call_id"][lab == k].nunique(), pdf["call_id"].iloc[int(np.argmax(lab == k))]))
+        return pd.DataFrame(rows, columns=["shard", "mean", "n", "calls", "first"]).nlargest(KEPT, "calls", keep="first")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["calls", "first"], ascending=[False, True])
         m = np.stack([np.asarray(v, float) for v in pdf["mean"]])
         lab = np.array(first_fit(m, threshold))
-        calls = np.bincount(lab, pdf["calls"])
-        top = int(calls.argmax())
-        w = pdf["n"].to_numpy()[lab == top]
-        return pd.DataFrame({"mean_embedding": [norm((m[lab == top] * w[:, None]).sum(0))], "n_samples": [int(calls[top])]})
-
-    shard = F.pmod(F.xxhash64("call_id"), F.lit(shards))
-    parts = centroids.withColumn("shard", shard).groupBy("shard").applyInPandas(local, "mean array<double>, n long, calls long, first long")
-    top = parts.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(merge, "mean_embedding array<double>, n_samples long")
+        w, rows = pdf["n"].to_numpy(), []
+        for k in range(lab.max() + 1):
+            own = lab == k
+            rows.append((pdf["shard"].iloc[0], norm((m[own] * w[own][:, None]).sum(0)), int(w[own].sum()), int(pdf["calls"][own].sum()), int(pdf["first"][own].min())))
+        return pd.DataFrame(rows, columns=["shard", "mean", "n", "calls", "first"]).nlargest(KEPT, "calls", keep="first")
+
+    n = _shards(centroids, shards)
+    schema = "shard long, mean array<double>, n long, calls long, first long"
+    parts = centroids.withColumn("shard", F.pmod(F.xxhash64("call_id"), F.lit(n))).groupBy("shard").applyInPandas(local, schema)
+    while n > 1:
+        n = -(-n // FAN)
+        parts = cut(parts.withColumn("shard", F.pmod("shard", F.lit(n))).groupBy("shard").applyInPandas(merge, schema))
+    top = parts.orderBy(F.desc("calls"), "first").limit(1).select(F.col("mean").alias("mean_embedding"), F.col("calls").alias("n_samples"))
     total = centroids.agg(F.count_distinct("call_id").alias("total"))
     return top.join(total).where((F.col("total") >= min_calls) & (F.col("n_samples") >= F.greatest(F.lit(3), F.floor(F.col("total") * 0.2)))).drop("total")
 
@@ -138,7 +154,7 @@ def flag_me_segments(segments: DataFrame, me: DataFrame, threshold: float = 0.6)
 def match_contacts(segments: DataFrame, centroids: DataFrame, threshold: float = 0.55, few: int = FEW_CONTACTS) -> DataFrame:
     """(id, contact_id, sim): the nearest contact of segments of the other side without one.
 
-    The centroids are multiplied as a matrix that is broadcast up to ``few`` contacts. Beyond, blocks
+    The centroids are multiplied as a matrix that is broadcast up to ``few`` contacts and FEW_BYTES. Beyond, blocks
     of centroids are dealt to tasks, each segment meets every block, and the best answer is taken.
     """
     rows = segments.where("who = 'other' and contact_id is null and embedding is not null").select("id", unit(F.col("embedding")).alias("v"))
@@ -152,14 +168,16 @@ def match_contacts(segments: DataFrame, centroids: DataFrame, threshold: float =
         return pd.DataFrame({"id": pdf["id"].to_numpy(), "contact_id": ids[k], "sim": s[np.arange(len(k)), k]})
 
     schema = "id long, contact_id long, sim double"
-    if n <= few:
+    width = centroids.select(F.max(F.size("mean"))).first()[0] or 0
+    if n <= few and n * width * 8 <= FEW_BYTES:
         held = centroids.orderBy("contact_id").select("contact_id", "mean").toPandas()
         ids, m = held["contact_id"].to_numpy(), np.stack([np.asarray(v, float) for v in held["mean"]])
+        sent = rows.sparkSession.sparkContext.broadcast((ids, m))
 
         def run(batches):
             for pdf in batches:
                 if len(pdf):
-                    yield top(ids, m, pdf)
+                    yield top(*sent.value, pdf)
 
         best = rows.mapInPandas(run, schema)
     else:
@@ -202,11 +220,12 @@ def resolve_contact(segments: DataFrame, matches: DataFrame, calls: DataFrame, c
     return rows.select("id", F.coalesce(seat, "target").alias("contact_id"), F.when(seat.isNotNull(), F.when(voiced, 0.8).otherwise(0.75)).otherwise(conf).alias("conf"))
 
 
-def new_voice_contacts(unmatched: DataFrame, threshold: float = 0.55, shards: int = 1) -> DataFrame:
+def new_voice_contacts(unmatched: DataFrame, threshold: float = 0.55, shards: int | None = None) -> DataFrame:
     """(id, name, conf) of segments that nothing matched: later ones join earlier ones' new contact.
 
-    Best-fit clustering in order of id, within shards of calls; the contact is named by its first
-    segment.
+    Best-fit clustering in order of id, within shards of calls that grow in number with the input;
+    the contact is named by its first segment. Contacts of different shards may be one voice:
+    merge_same_voice, which comes next, joins those. One shard gives the plain answer.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -215,8 +234,8 @@ def new_voice_contacts(unmatched: DataFrame, threshold: float = 0.55, shards: in
         first = pdf.groupby(np.array(lab))["id"].transform("first")
         return pd.DataFrame({"id": pdf["id"], "name": "未知声纹" + first.astype(str), "conf": 0.7})
 
-    rows = unmatched.select("id", unit(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("call_id"), F.lit(shards)).alias("shard"))
-    return rows.groupBy("shard").applyInPandas(run, "id long, name string, conf double")
+    shard = F.pmod(F.xxhash64("call_id"), F.lit(_shards(unmatched, shards)))
+    return unmatched.select("id", unit(F.col("embedding")).alias("v"), shard.alias("shard")).groupBy("shard").applyInPandas(run, "id long, name string, conf double")
 
 
 def grow_voiceprints(segments: DataFrame, voiceprints: DataFrame, cap: int = 8) -> DataFrame:
@@ -255,17 +274,17 @@ def merge_same_phone(contacts: DataFrame) -> DataFrame:
     return rows.select("id", F.first("id").over(w).alias("keep_id")).where("id <> keep_id").select(F.col("id").alias("drop_id"), "keep_id")
 
 
-def merge_same_voice(contacts: DataFrame, voiceprints: DataFrame, threshold: float = 0.8, block: int = 2048, rounds: int = 8) -> DataFrame:
+def merge_same_voice(contacts: DataFrame, voiceprints: DataFrame, threshold: float = 0.8, block: int = 2048) -> DataFrame:
     """(drop_id, keep_id) of contacts but seats whose voices are near: real name, most calls, lowest id.
 
     Order-free: all near pairs of centroids are found in blocks, connected, and each group's
     survivor is chosen; centroids are computed anew from the joined voiceprints until nothing is
-    near, within ``rounds``.
+    near. Every round but the last leaves fewer people, so the rounds end.
     """
     people = cut(contacts.where("coalesce(kind, 'person') <> 'seat'").select("id", "name", "phone", F.coalesce("n_calls", F.lit(0)).alias("n_calls")))
     prints = cut(voiceprints.join(people.select(F.col("id").alias("contact_id")), "contact_id", "left_semi").select("contact_id", "embedding"))
     merged = people.select(F.col("id").alias("drop_id"), F.col("id").alias("keep_id"))
-    for _ in range(rounds):
+    while True:
         near = cut(near_pairs(contact_centroids(prints), threshold, block))
         if near.isEmpty():
             break

@@ -124,28 +124,38 @@ def name_seats(clusters: DataFrame, segments: DataFrame, claimed: DataFrame, sea
     return rows.select("contact_hint", "cluster", "seat_id", name.alias("name"))
 
 
-def apply_split(clusters: DataFrame, named: DataFrame, segments: DataFrame, centroids: DataFrame, contacts: DataFrame) -> dict[str, DataFrame]:
-    """contacts (organisations and seats added or marked), segments repointed, and the seats' voiceprints.
+def apply_split(clusters: DataFrame, named: DataFrame, segments: DataFrame, centroids: DataFrame, contacts: DataFrame, voiceprints: DataFrame | None = None) -> dict[str, DataFrame]:
+    """contacts with organisations and seats added or marked, segments repointed, and all voiceprints.
 
-    New rows get ids after the largest one, in order of name.
+    Contacts keep all their columns, and n_calls is counted anew where they have it. An organisation
+    that is new gets the phone of its line where clusters have one. Voiceprints of seats that got
+    clusters are replaced by the centroids of their calls; all others stay. The id of a new row is a
+    hash of its name, negative so that it is none of the ids given so far, and the same in any order.
     """
+    fresh_id = F.xxhash64("name").bitwiseOR(F.lit(-(2**63)))
+    phones = clusters.select(F.col("contact_hint").alias("name"), F.col("phone") if "phone" in clusters.columns else F.lit(None).cast("string").alias("phone")).groupBy("name").agg(F.min("phone").alias("phone"))
     orgs = named.select(F.col("contact_hint").alias("name")).distinct()
-    have = contacts.join(orgs.withColumn("_org", F.lit(1)), "name", "left").withColumn("kind", F.when(F.col("_org") == 1, F.coalesce("kind", F.lit("org"))).otherwise(F.col("kind"))).drop("_org").select("id", "name", "kind", "parent_id")
-    top = contacts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = lambda df: df.join(top).withColumn("id", F.col("top") + F.row_number().over(Window.orderBy("name"))).drop("top")
-    new_orgs = numbered(orgs.join(contacts.select("name"), "name", "left_anti")).select("id", "name", F.lit("org").alias("kind"), F.lit(None).cast("long").alias("parent_id"))
-    all_orgs = have.unionByName(new_orgs)
-    top = all_orgs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    have = contacts.join(orgs.withColumn("_org", F.lit(1)), "name", "left").withColumn("kind", F.when(F.col("_org") == 1, F.coalesce("kind", F.lit("org"))).otherwise(F.col("kind"))).select(contacts.columns)
+    new_orgs = orgs.join(contacts.select("name"), "name", "left_anti").join(phones, "name", "left").select(fresh_id.alias("id"), "name", F.lit("org").alias("kind"), "phone")
+    every = have.unionByName(new_orgs if "phone" in contacts.columns else new_orgs.drop("phone"), allowMissingColumns=True)
     fresh = named.where("seat_id is null").join(contacts.select("name"), "name", "left_anti").select("name", "contact_hint").distinct()
-    new_seats = numbered(fresh).join(all_orgs.select(F.col("name").alias("contact_hint"), F.col("id").alias("parent_id")), "contact_hint").select("id", "name", F.lit("seat").alias("kind"), "parent_id")
-    out = all_orgs.join(named.where("seat_id is not null").select(F.col("seat_id").alias("id"), F.col("name").alias("_new")), "id", "left").withColumn("name", F.coalesce("_new", "name")).drop("_new").unionByName(new_seats)
+    parents = every.select(F.col("name").alias("contact_hint"), F.col("id").alias("parent_id"))
+    new_seats = fresh.join(parents, "contact_hint").select(fresh_id.alias("id"), "name", F.lit("seat").alias("kind"), "parent_id")
+    renamed = named.where("seat_id is not null").select(F.col("seat_id").alias("id"), F.col("name").alias("_new"))
+    out = every.join(renamed, "id", "left").withColumn("name", F.coalesce("_new", "name")).drop("_new").unionByName(new_seats, allowMissingColumns=True)
     ids = out.select("name", F.col("id").alias("to"))
     calls = clusters.join(named, ["contact_hint", "cluster"]).join(ids, "name").select(F.explode("call_ids").alias("call_id"), "to")
     moved = segments.join(calls, "call_id", "left")
     hit = F.col("to").isNotNull() & (F.col("who") == "other")
     old = F.col("contact_conf") if "contact_conf" in segments.columns else F.lit(None).cast("double")
     moved = moved.withColumns({"contact_conf": F.when(hit, 0.8).otherwise(old), "contact_id": F.when(hit, F.col("to")).otherwise(F.col("contact_id"))}).drop("to")
+    if "n_calls" in out.columns:
+        n = moved.where("contact_id is not null").groupBy(F.col("contact_id").alias("id")).agg(F.count_distinct("call_id").alias("_n"))
+        out = out.join(n, "id", "left").withColumn("n_calls", F.coalesce("_n", F.lit(0)).cast(contacts.schema["n_calls"].dataType)).drop("_n")
     prints = centroids.join(calls, "call_id").select(F.col("to").alias("contact_id"), F.col("mean").alias("embedding"), F.col("call_id").alias("source_call_id"), F.lit(0.6).alias("quality"))
+    if voiceprints is not None:
+        kept = voiceprints.join(calls.select(F.col("to").alias("contact_id")).distinct(), "contact_id", "left_anti")
+        prints = kept.unionByName(prints, allowMissingColumns=True)
     return {"contacts": out, "segments": moved, "voiceprints": prints}
 
 

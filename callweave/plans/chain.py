@@ -50,7 +50,7 @@ def split_lines(t: Tables) -> Tables:
     voices = identity.contact_centroids(t["voiceprints"]).select(F.col("contact_id").alias("seat_id"), "mean")
     claimed = lines.reuse_seats(clusters, seats.join(voices, "seat_id").select("contact_hint", "seat_id", "mean"))
     named = lines.name_seats(clusters, t["segments"], claimed, seats.select("contact_hint", "seat_id", "name"))
-    return t | lines.apply_split(clusters, named, t["segments"], centroids, t["contacts"])
+    return t | lines.apply_split(clusters, named, t["segments"], centroids, t["contacts"], t["voiceprints"])
 
 
 def relate(t: Tables, responses: DataFrame | None = None) -> Tables:

@@ -260,7 +260,11 @@ def l8_apply_split(spark, d):
     c, seg, named = _named(spark, d)
     contacts = fx.contacts(spark, d)
     out = lines.apply_split(c, named, seg, lines.other_centroids(_line_voices(spark, d)), contacts)
-    return out["contacts"]
+    # new rows by name, whose ids are hashes; and how many segments and voiceprints each contact has
+    c, seg, prints = out["contacts"], out["segments"], out["voiceprints"]
+    n = seg.groupBy("contact_id").agg(F.count("*").alias("n_segments")).join(prints.groupBy("contact_id").agg(F.count("*").alias("n_prints")), "contact_id", "left")
+    parent = c.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
+    return c.join(n, c["id"] == n["contact_id"], "left").join(parent, "parent_id", "left").select("name", "kind", "phone", "parent", "n_calls", "n_segments", "n_prints")
 
 
 @query()

@@ -142,3 +142,33 @@ def test_clip_budget(spark):
     assert got.count() == 3
     e = spark.createDataFrame([(bytes(8),), (b"\x00\x40" * 4,), (None,)], "b binary").select(clips.clip_energy(F.col("b")).alias("e")).collect()
     assert [None if r.e is None else round(r.e, 6) for r in e] == [0.0, 0.25, None]
+
+
+def test_shards_of_voices_give_the_plain_answer(spark):
+    rng = np.random.default_rng(8)
+    e = np.eye(12)
+    rows = [(i, "0", e[0] + rng.normal(0, 0.05, 12)) for i in range(60)] + [(i, "1", e[1 + i % 11] + rng.normal(0, 0.05, 12)) for i in range(60)]
+    df = spark.createDataFrame([(c, s, [float(x) for x in v / np.linalg.norm(v)], 1) for c, s, v in rows], "call_id long, spk_local string, mean array<double>, n long")
+    one = identity.bootstrap_me(df, shards=1).first()
+    many = identity.bootstrap_me(df, shards=40).first()
+    assert one.n_samples == many.n_samples == 60 and np.dot(one.mean_embedding, many.mean_embedding) > 0.999
+    seg = spark.createDataFrame([(i, c, [float(x) for x in v]) for i, (c, _, v) in enumerate(rows)], "id long, call_id long, embedding array<double>")
+    names = {r.id: r.name for r in identity.new_voice_contacts(seg, shards=1).collect()}
+    assert len(set(names.values())) == 12
+    apart = {r.id: r.name for r in identity.new_voice_contacts(seg, shards=4).collect()}
+    # voices never share a contact, and the contacts of shards merge into the plain ones
+    assert all(names[i] == names[j] for i in apart for j in apart if apart[i] == apart[j])
+    number = {n: k for k, n in enumerate(sorted(set(apart.values())))}
+    con = spark.createDataFrame([(k, n, None, None, 0) for n, k in number.items()], "id long, name string, phone string, kind string, n_calls long")
+    prints = spark.createDataFrame([(number[apart[i]], [float(x) for x in v]) for i, (_, _, v) in enumerate(rows)], "contact_id long, embedding array<double>")
+    assert len(number) - identity.merge_same_voice(con, prints).count() == 12
+
+
+def test_separation_cohesion_and_seats_by_hand(spark):
+    c = spark.createDataFrame([("l", "shared_line", 0, 3, [1.0, 0.0], 0.9), ("l", "shared_line", 1, 2, [0.6, 0.8], 0.8), ("l", "shared_line", 2, 2, [0.0, 1.0], 0.7), ("m", "person", 0, 2, [1.0, 0.0], 1.0)], "contact_hint string, line_kind string, cluster int, n_calls int, mean array<double>, intra double")
+    assert [(r.contact_hint, round(r.separation, 6)) for r in lines.cluster_separation(c).collect()] == [("l", 0.0)]
+    assert sorted((r.contact_hint, r.cluster) for r in lines.split_decision(c).collect()) == [("l", 0), ("l", 1), ("l", 2)]
+    assert {(r.contact_hint, r.cluster): r.intra for r in lines.cluster_cohesion(c).collect()}[("l", 1)] == 0.8
+    seg = spark.createDataFrame([(1, "o", [2.0, 0.0]), (2, "o", [0.0, 3.0]), (3, "o", [-1.0, 0.0]), (4, "p", [1.0, 0.0]), (5, "o", None)], "id long, org_id string, embedding array<double>")
+    seats = spark.createDataFrame([("o", 7, [1.0, 0.0]), ("o", 8, [0.0, 1.0])], "org_id string, seat_id long, mean array<double>")
+    assert sorted((r.id, r.seat_id) for r in lines.seat_for(seg, seats).collect()) == [(1, 7), (2, 8)]

@@ -88,3 +88,21 @@ def test_fingerprint_query_takes_every_file(spark, tmp_path):
         b = t.encode()
         assert got[i] == hashlib.sha256(str(len(b)).encode() + b[: rec.SLICE] + (b[-rec.SLICE :] if len(b) > 2 * rec.SLICE else b"")).hexdigest(), i
     assert len(got) == len(texts)
+
+
+def test_chain_with_a_shared_line_keeps_columns_and_voiceprints(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, f"/r/{i}.wav", f"x{i}.wav", "line" if i < 8 else "Ann", "95588" if i < 8 else "13800138000", t0 + dt.timedelta(hours=i), 60.0 + 10 * i, 100 + i, "transcribed", None, None, None, 1, None, None, f"/w/{i}", None, None) for i in range(10)]
+    vec = lambda c, k: [1.0, 0, 0, 0] if k % 2 == 0 else [0, 1.0, 0, 0] if c >= 8 else [0, 0, 1.0, 0] if c % 2 else [0, 0, 0, 1.0]
+    seg = [(c * 10 + k, c, k, str(k % 2), "unknown", None, None, k * 1000, k * 1000 + 900, "hello", [float(x) for x in vec(c, k)]) for c in range(10) for k in range(4)]
+    seg = spark.createDataFrame(seg, "id long, call_id long, idx int, spk_local string, who string, contact_id long, contact_conf double, start_ms long, end_ms long, text_zh string, embedding array<double>")
+    contacts = spark.createDataFrame([(1, "Ann", "13800138000", "a note", None, None, 0), (2, "line", "95588", None, "org", None, 0)], "id long, name string, phone string, note string, kind string, parent_id long, n_calls long")
+    prints = spark.createDataFrame([(1, [0.0, 1.0, 0.0, 0.0], 0)], "contact_id long, embedding array<double>, source_segment_id long")
+    me = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0], 5)], "mean_embedding array<double>, n_samples long")
+    listing = spark.createDataFrame([("/r/0.wav", t0, 100)], "path string, modificationTime timestamp, length long")
+    t = chain.run_chain({"calls": spark.createDataFrame(rows, CALLS), "segments": seg, "contacts": contacts, "voiceprints": prints, "me": me}, listing)
+    got = {r.name: r for r in t["contacts"].collect()}
+    assert set(got) == {"Ann", "line", "line·A", "line·B"} and (got["Ann"].phone, got["Ann"].note, got["Ann"].n_calls) == ("13800138000", "a note", 2)
+    assert got["line·A"].parent_id == got["line·B"].parent_id == 2 and got["line·A"].n_calls == got["line·B"].n_calls == 4
+    n = {r.contact_id: r["count"] for r in t["voiceprints"].groupBy("contact_id").count().collect()}
+    assert n == {1: 1, got["line·A"].id: 4, got["line·B"].id: 4}
