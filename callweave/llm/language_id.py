@@ -146,7 +146,7 @@ def fit(rows: list[tuple[str, str]], labels: list[str], epochs: int = 4, rate: f
     n = len(labels)
     lines = [(c, labels.index(y)) for t, y in rows for c in chains(t)]
     seen = Counter(w for c, _ in lines for w in c)
-    lexicon = {w for w, k in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON] if k > 1}
+    lexicon = {w for w, k in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]}
     model = Model(labels, np.zeros((1 << BITS, max(1, n)), np.float32), np.zeros((n, n)), np.zeros(n), lexicon)
     if n < 2 or not lines:
         return model
@@ -194,19 +194,20 @@ def held_out(key: F.Column) -> F.Column:
 def train(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
     """The model of a bounded sample of lines of texts that aren't held out.
 
-    The sample holds, for each label, the lines with the smallest hashes of key and place, of
-    ``sample`` lines in all; lines of over CHAIN words give their first chain only. Rows without key, text or label don't take part.
+    The sample holds, for each label, the lines with the smallest hashes of key and place, about
+    ``sample`` lines in all and one of each label at least; a line gives all its chains. Every label
+    of the table can be predicted: their number isn't bounded here, but is that of languages. Rows
+    without key, text or label don't take part.
     """
     known = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[label].alias("label")).where(F.col("text").isNotNull() & F.col("label").isNotNull() & F.col("key").isNotNull() & ~held_out(F.col("key")))
-    labels = [r.label for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(256).select("label").orderBy("label").collect()]
+    labels = [r.label for r in known.groupBy("label").count().select("label").orderBy("label").collect()]
     lines = known.select("key", "label", F.posexplode(F.split("text", "\n")).alias("at", "line")).where("line rlike '[\\\\p{L}]'")
     # drawn by a threshold on a hash that is the same share of every label's lines or more
     n = {r.label: r["count"] for r in lines.groupBy("label").count().where(F.col("label").isin(labels)).collect()} if labels else {}
     each = max(1, sample // max(1, len(labels)))
     draw = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(float(min(1.0, 1.3 * each / max(1, n.get(k, 0)) + 0.0))))]) if labels else F.create_map(F.lit(""), F.lit(0.0))
     h = F.pmod(F.xxhash64("key", "at"), F.lit(1 << 30)) / float(1 << 30)
-    cut_to = rf"^(?:[^\p{{L}}]*\p{{L}}+){{1,{CHAIN}}}"
-    drawn = lines.where(h < draw[F.col("label")]).select("key", "at", "label", F.regexp_extract("line", cut_to, 0).alias("line")).orderBy(F.xxhash64("key", "at"), "key", "at").limit(2 * sample)
+    drawn = lines.where(h < draw[F.col("label")]).select("key", "at", "label", "line").orderBy(F.xxhash64("key", "at"), "key", "at").limit(2 * sample)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted({(k, a, t, y) for b in batches for k, a, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True)})

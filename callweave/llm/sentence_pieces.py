@@ -20,11 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from callweave.llm.common import slices, spread
+from callweave.llm.common import merged, slices, spread
 
 SPACE = "▁"
 #: Chunks and pieces that a worker remembers before it starts afresh.
 REMEMBERED = 300_000
+#: Characters of a chunk beyond which it is merged by itself, as rounds over all chunks take time with its square.
+LONG = 1000
 #: Kinds of piece in the model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -173,8 +175,28 @@ class Model:
 
     # -- segmentation ------------------------------------------------------------------------
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.into.tolist(), strict=True), strict=True))
+
     def segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Piece ids of all chunks, flat; bytes of the chunk that each covers; pieces per chunk."""
+        long = [i for i, c in enumerate(chunks) if len(c) > LONG]
+        ids, width, n = self.rounds(["" if len(c) > LONG else c for c in chunks] if long else chunks)
+        if not long:
+            return ids, width, n
+        at = np.cumsum(n)[:-1]
+        all_ids, all_width = np.split(ids, at), np.split(width, at)
+        for i in long:
+            sym, start = merged([self.symbol.get(c, self.n - 1) for c in chunks[i]], self.pairs, self.n)
+            ends = _starts(chunks[i].encode())
+            covers = np.diff(np.r_[ends[start], ends[-1]])
+            all_ids[i], all_width[i], one = self._known(np.array(sym, np.int64), np.zeros(len(sym), np.int64), covers, np.array(start), chunks[i], 1)
+            n[i] = one[0]
+        return np.concatenate(all_ids), np.concatenate(all_width), n
+
+    def rounds(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``segment`` gives, all chunks a merge at a time."""
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         chars = "".join(chunks)
         unknown = self.n - 1

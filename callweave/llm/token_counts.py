@@ -11,12 +11,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from callweave.llm.common import slices, spread
+from callweave.llm.common import merged, slices, spread
 
 #: How the byte-level pre-tokeniser cuts a text (fixed by the vocabulary).
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens whose counts a worker remembers before it starts afresh.
 REMEMBERED = 400_000
+#: Bytes of a pre-token beyond which it is merged by itself, as rounds over all symbols take time with its square.
+LONG = 1000
 
 
 def byte_names() -> list[str]:
@@ -51,8 +53,24 @@ class Merger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, at, -1)
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.into.tolist(), strict=True), strict=True))
+
     def merge(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Surviving symbols, flat, and how many each sequence has.
+        """Surviving symbols, flat, and how many each sequence has. Sequences of over LONG bytes are merged by themselves."""
+        long = [i for i, s in enumerate(sequences) if len(s) > LONG]
+        sym, n = self.rounds([b"" if len(s) > LONG else s for s in sequences] if long else sequences)
+        if not long:
+            return sym, n
+        parts = np.split(sym, np.cumsum(n)[:-1])
+        for i in long:
+            parts[i] = np.array(merged(self.start[np.frombuffer(sequences[i], np.uint8)].tolist(), self.pairs, self.n)[0], np.int64)
+            n[i] = len(parts[i])
+        return np.concatenate(parts), n
+
+    def rounds(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Surviving symbols, flat, and how many each sequence has, all sequences a step at a time.
 
         Each round finds the lowest rank among the pairs of every sequence that still has one and
         merges all its occurrences, from the left where they overlap; the sequences advance

@@ -88,3 +88,22 @@ def test_queries_over_rows(spark, lib, texts):
     both = decode(encode(df, PATH), PATH)
     assert {(r.doc_id, r.text) for r in both.collect()} == {(i, lib.decode(lib.encode(t or ""))) for i, t, _ in rows}
     assert digests(df.limit(0), PATH).count() == 0
+
+
+def test_long_chunks_equal_the_library_in_bounded_time():
+    import random
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    from callweave.llm.sentence_pieces import Known, model
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(300_000)), "a" * 100_000, "ab" * 20_000, "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(50_000)), "é🙂x" * 2000, "x" * 1001]
+    began = time.time()
+    got = [(ids.tolist(), end[-1]) for ids, _, end in model(path).encode(texts, Known())]
+    assert time.time() - began < 60
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert [i for i, _ in got] == [lib.encode(t) for t in texts] and [e for _, e in got] == [len(t.encode()) for t in texts]

@@ -34,3 +34,22 @@ def test_symbols_equal_the_library():
 
 def test_empty_table(spark):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_long_pretokens_equal_the_library_in_bounded_time():
+    import random
+    import time
+
+    import public_tokenizers
+    import tokenizers
+
+    from callweave.llm.token_counts import merger
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)), "a" * 100_000, "ab" * 20_000, "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(50_000)), "x" * 1001, "=" * 5000]
+    began = time.time()
+    got = merger(path).counts(texts, {})
+    assert time.time() - began < 60
+    lib = tokenizers.Tokenizer.from_file(path)
+    assert got == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
