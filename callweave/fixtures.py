@@ -60,10 +60,6 @@ SELECT DISTINCT user_id % 10 AS id, 'contact_' || CAST(user_id % 10 AS STRING) A
   CASE WHEN user_id % 10 IN (8, 9) THEN 7 END AS parent_id, (user_id % 10) * 3 AS n_calls
 FROM events
 """
-WORDS = """
-SELECT call_id, seg_id, pos, w, start_ms + pos * 400 + (pos % 7) * 100 AS s, start_ms + pos * 400 + (pos % 7) * 100 + 150 + (pos % 5) * 50 AS e
-FROM words_raw
-"""
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

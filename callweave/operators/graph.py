@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from callweave.functions.text import ANALYSIS
 from callweave.operators.stats import done, label, live
 
-SERVICE_WORDS = "快递 包裹 取件 驿站 派件 签收 放门口 前台 到付 外卖 骑手 闪送 餐品 送达 下单 打车 网约车 出租车 师傅 车牌 尾号 上车 接单".split()
+# Words of courier and taxi calls.
+SERVICE_WORDS = [
+    "快递", "包裹", "取件", "驿站", "派件", "签收", "放门口", "前台", "到付", "外卖", "骑手", "闪送", "餐品", "送达", "下单", "打车", "网约车", "出租车",
+    "师傅", "车牌", "尾号", "上车", "接单",
+]
 MOST = 6
 ME = "我"
 
