@@ -214,7 +214,8 @@ def _results(spark, d):
     return first.unionByName(first.where("seg_id % 7 = 0").withColumns({"attempt": F.lit(2).cast("long"), "text": F.concat("text", F.lit("!"))}))
 
 
-@query()
+@query(f"""{W}, {CHUNKS} SELECT seg_id, coalesce(string_agg('t' || chunk_no, '' ORDER BY chunk_no) FILTER (chunk_no <> 1), '') AS text, max(CASE WHEN chunk_no > 0 THEN 'en' END) AS lang,
+max(start_ms) + 9 AS last_e, CAST(count(*) AS INTEGER) AS blocks, CAST(count(*) FILTER (chunk_no = 1) AS INTEGER) AS empty_blocks FROM ch GROUP BY seg_id""")
 def a5_stitch_chunks(spark, d):
     c = transcripts.split_chunks(fx.segments(spark, d))
     word = F.array(F.struct(F.lit("w").alias("w"), F.lit(5).cast("long").alias("s"), F.lit(9).cast("long").alias("e")))
@@ -363,7 +364,14 @@ def g7_graph_slice_edges(spark, d):
     return _whole(spark, d)[1]
 
 
-@query()
+def _json(*fields: tuple[str, str]) -> str:
+    """SQL of a JSON object under data without its null fields, the first of which is never null."""
+    first, *rest = [f"""'"{name}":' || CAST(to_json({x}) AS VARCHAR)""" for name, x in fields]
+    return "'{\"data\":{' || " + first + "".join(f" || coalesce(',' || {x}, '')" for x in rest) + " || '}}'"
+
+
+@query(f"""{G}, {SLICED} SELECT {_json(("id", "node"), ("label", "label"), ("type", "type"), ("deg", "deg"))} AS element FROM kept
+UNION ALL SELECT {_json(("source", "src"), ("target", "dst"), ("kind", "kind"), ("weight", "weight"), ("time", "CAST(edge_time AS VARCHAR)"), ("call_id", "call_id"))} FROM rg WHERE src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept)""")
 def s9_graph_elements(spark, d):
     return graph.graph_elements(*_whole(spark, d))
 
