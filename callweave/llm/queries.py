@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import language_id, license_scans, secret_scans
+from callweave.llm import filter_audit, language_id, license_scans, secret_scans
 from callweave.llm.common import documents
 from callweave.llm.image_copies import find_copies, images_of
 from callweave.llm.line_dedup import dedup_lines
@@ -85,3 +85,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(images_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLES["op13_filter_audit"] = filter_audit.ORACLE
