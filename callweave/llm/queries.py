@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import filter_audit, language_id, license_scans, secret_scans
+from callweave.llm import filter_audit, language_id, license_scans, quality_gam, ranked_search, secret_scans
 from callweave.llm.common import documents
 from callweave.llm.image_copies import find_copies, images_of
 from callweave.llm.line_dedup import dedup_lines
@@ -93,3 +93,17 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_filter_audit"] = filter_audit.ORACLE
+
+
+@query
+def op11_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_gam.score(docs, quality_gam.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op12_ranked_search"] = ranked_search.ORACLE
