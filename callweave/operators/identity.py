@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.functions.components import components, cut
+from callweave.functions.cells import near_links, nearest
+from callweave.functions.components import components, cut, with_group
+from callweave.functions.leaders import BLOCK, followed, joined_up, leaders, sortable, stacked
 from callweave.functions.text import classify_line
-from callweave.functions.vectors import average_linkage, best_fit, dot, doubles, first_fit, means, norm, unit
+from callweave.functions.vectors import average_linkage, dot, doubles, means, sums, unit
 from callweave.operators.stats import live
 
 #: Contacts up to which their centroids are broadcast as one matrix; beyond, an equi-join over blocks.
 FEW_CONTACTS = 100_000
 #: Bytes of centroids up to which they are broadcast.
 FEW_BYTES = 64 << 20
-#: Rows of a shard of greedy clustering, shards that are merged at a time, clusters of a shard that go on.
-SHARD, FAN, KEPT = 20_000, 16, 500
+#: Name of a contact made of a voice, before the id of its first segment, and its note.
+NEW_VOICE, NEW_VOICE_NOTE = "未知声纹", "由声纹聚类自动创建"
 ALIAS = "同一人还有："
 
 
@@ -39,52 +41,26 @@ def diarize(segments: DataFrame, k: int = 2) -> DataFrame:
     return segments.select("call_id", "id", "start_ms", doubles(F.col("embedding")).alias("embedding")).groupBy("call_id").applyInPandas(run, "id long, speaker int")
 
 
-def _shards(rows: DataFrame, shards: int | None) -> int:
-    """The given number of shards, else one for every SHARD rows."""
-    return shards or max(1, -(-rows.count() // SHARD))
-
-
-def bootstrap_me(centroids: DataFrame, threshold: float = 0.55, min_calls: int = 5, shards: int | None = None) -> DataFrame:
+def bootstrap_me(centroids: DataFrame, threshold: float = 0.55, min_calls: int = 5, block: int = BLOCK) -> DataFrame:
     """(mean_embedding, n_samples): the voice of the most calls; no row if that isn't clear.
 
-    Centroids in order of call and label are clustered by first fit within shards of calls, which
-    grow in number with the input; clusters of FAN shards at a time, largest first, are clustered by
-    first fit of their means, until one shard is left. Of a shard the KEPT clusters of the most
-    calls go on: the owner's is the largest of nearly all, or isn't clear. One shard gives the plain
-    answer.
+    In order of call and label, a centroid follows the first leading one that it is near, or leads;
+    then clusters whose means are near join, largest first. Both are settled in rounds, so that the
+    answer is that of the plain loop on any partitions; no task holds all centroids.
     """
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["call_id", "spk_local"])
-        m = np.stack([np.asarray(v, float) for v in pdf["mean"]])
-        lab = np.array(first_fit(m, threshold))
-        rows = []
-        for k in range(lab.max() + 1):
-            mean, n = m[lab == k][0], 1
-            for v in m[lab == k][1:]:
-                mean, n = norm(mean * n + v), n + 1
-            rows.append((pdf["shard"].iloc[0], mean, n, pdf["call_id"][lab == k].nunique(), pdf["call_id"].iloc[int(np.argmax(lab == k))]))
-        return pd.DataFrame(rows, columns=["shard", "mean", "n", "calls", "first"]).nlargest(KEPT, "calls", keep="first")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["calls", "first"], ascending=[False, True])
-        m = np.stack([np.asarray(v, float) for v in pdf["mean"]])
-        lab = np.array(first_fit(m, threshold))
-        w, rows = pdf["n"].to_numpy(), []
-        for k in range(lab.max() + 1):
-            own = lab == k
-            rows.append((pdf["shard"].iloc[0], norm((m[own] * w[own][:, None]).sum(0)), int(w[own].sum()), int(pdf["calls"][own].sum()), int(pdf["first"][own].min())))
-        return pd.DataFrame(rows, columns=["shard", "mean", "n", "calls", "first"]).nlargest(KEPT, "calls", keep="first")
-
-    n = _shards(centroids, shards)
-    schema = "shard long, mean array<double>, n long, calls long, first long"
-    parts = centroids.withColumn("shard", F.pmod(F.xxhash64("call_id"), F.lit(n))).groupBy("shard").applyInPandas(local, schema)
-    while n > 1:
-        n = -(-n // FAN)
-        parts = cut(parts.withColumn("shard", F.pmod("shard", F.lit(n))).groupBy("shard").applyInPandas(merge, schema))
-    top = parts.orderBy(F.desc("calls"), "first").limit(1).select(F.col("mean").alias("mean_embedding"), F.col("calls").alias("n_samples"))
+    rows = centroids.select(F.lit(0).alias("all"), F.concat(sortable(F.col("call_id")), F.col("spk_local").cast("string")).alias("first"), "call_id", unit(F.col("mean")).alias("v"))
+    rows = cut(rows)
+    own = followed(rows, leaders(rows, threshold, "all", "first", "v", block), threshold, "all", "first", "v", best=False, block=block)
+    member = cut(rows.join(own.select("first", "leader"), "first"))
+    size = member.select("leader", "call_id").distinct().groupBy("leader").agg(F.count("*").alias("size"))
+    total = sums(member, ["leader"], "v").join(size, "leader")
+    up = joined_up(total.select(F.lit(0).alias("all"), F.col("leader").alias("first"), "size", "total"), threshold, "all", block)
+    voice = cut(member.join(up.select(F.col("first").alias("leader"), "to"), "leader").select("to", "call_id", "v"))
+    calls = voice.select("to", "call_id").distinct().groupBy("to").agg(F.count("*").alias("n_samples"))
+    top = cut(calls.orderBy(F.desc("n_samples"), "to").limit(1))
+    mean = means(voice.join(F.broadcast(top), "to"), ["to", "n_samples"], "v").select(F.col("mean").alias("mean_embedding"), "n_samples")
     total = centroids.agg(F.count_distinct("call_id").alias("total"))
-    return top.join(total).where((F.col("total") >= min_calls) & (F.col("n_samples") >= F.greatest(F.lit(3), F.floor(F.col("total") * 0.2)))).drop("total")
+    return mean.join(total).where((F.col("total") >= min_calls) & (F.col("n_samples") >= F.greatest(F.lit(3), F.floor(F.col("total") * 0.2)))).drop("total")
 
 
 def update_me(profile: DataFrame, sample: DataFrame) -> DataFrame:
@@ -154,47 +130,27 @@ def flag_me_segments(segments: DataFrame, me: DataFrame, threshold: float = 0.6)
 def match_contacts(segments: DataFrame, centroids: DataFrame, threshold: float = 0.55, few: int = FEW_CONTACTS) -> DataFrame:
     """(id, contact_id, sim): the nearest contact of segments of the other side without one.
 
-    The centroids are multiplied as a matrix that is broadcast up to ``few`` contacts and FEW_BYTES. Beyond, blocks
-    of centroids are dealt to tasks, each segment meets every block, and the best answer is taken.
+    Up to ``few`` contacts and FEW_BYTES the centroids are multiplied as one matrix that is broadcast.
+    Beyond, pivot cells tell which centroids a segment has to meet; the answer is the same.
     """
     rows = segments.where("who = 'other' and contact_id is null and embedding is not null").select("id", unit(F.col("embedding")).alias("v"))
-    n = centroids.count()
+    n, width = centroids.agg(F.count("*"), F.max(F.size("mean"))).first()
+    if n > few or n * (width or 0) * 8 > FEW_BYTES:
+        return nearest(rows, centroids, threshold, "id", "contact_id").select("id", "contact_id", "sim")
     if n == 0:
         return rows.select("id", F.lit(None).cast("long").alias("contact_id"), F.lit(None).cast("double").alias("sim")).limit(0)
+    held = centroids.orderBy("contact_id").select("contact_id", "mean").toPandas()
+    sent = rows.sparkSession.sparkContext.broadcast((held["contact_id"].to_numpy(), stacked(held["mean"])))
 
-    def top(ids, m, pdf):
-        s = np.stack([np.asarray(v, float) for v in pdf["v"]]) @ m.T
-        k = s.argmax(1)
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "contact_id": ids[k], "sim": s[np.arange(len(k)), k]})
-
-    schema = "id long, contact_id long, sim double"
-    width = centroids.select(F.max(F.size("mean"))).first()[0] or 0
-    if n <= few and n * width * 8 <= FEW_BYTES:
-        held = centroids.orderBy("contact_id").select("contact_id", "mean").toPandas()
-        ids, m = held["contact_id"].to_numpy(), np.stack([np.asarray(v, float) for v in held["mean"]])
-        sent = rows.sparkSession.sparkContext.broadcast((ids, m))
-
-        def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    yield top(*sent.value, pdf)
-
-        best = rows.mapInPandas(run, schema)
-    else:
-        blocks = -(-n // 4096)
-        c = centroids.withColumn("block", F.pmod(F.xxhash64("contact_id"), F.lit(blocks)).cast("int"))
-        s = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
-        c = c.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
-
-        def meet(left, right):
-            right = right.sort_values("contact_id")
-            if not len(left) or not len(right):
-                return pd.DataFrame({"id": left["id"][:0], "contact_id": right["contact_id"][:0], "sim": pd.Series([], dtype=float)})
-            return top(right["contact_id"].to_numpy(), np.stack([np.asarray(v, float) for v in right["mean"]]), left)
-
-        every = s.groupBy("part", "block").cogroup(c.groupBy("part", "block")).applyInPandas(meet, schema)
-        best = every.groupBy("id").agg(F.max_by("contact_id", F.struct("sim", -F.col("contact_id"))).alias("contact_id"), F.max("sim").alias("sim"))
-    return best.where(F.col("sim") >= threshold)
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                ids, m = sent.value
+                s = stacked(pdf["v"]) @ m.T
+                k = s.argmax(1)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "contact_id": ids[k], "sim": s[np.arange(len(k)), k]})
+
+    return rows.mapInPandas(run, "id long, contact_id long, sim double").where(F.col("sim") >= threshold)
 
 
 def resolve_contact(segments: DataFrame, matches: DataFrame, calls: DataFrame, contacts: DataFrame, seats: DataFrame | None = None) -> DataFrame:
@@ -220,22 +176,36 @@ def resolve_contact(segments: DataFrame, matches: DataFrame, calls: DataFrame, c
     return rows.select("id", F.coalesce(seat, "target").alias("contact_id"), F.when(seat.isNotNull(), F.when(voiced, 0.8).otherwise(0.75)).otherwise(conf).alias("conf"))
 
 
-def new_voice_contacts(unmatched: DataFrame, threshold: float = 0.55, shards: int | None = None) -> DataFrame:
-    """(id, name, conf) of segments that nothing matched: later ones join earlier ones' new contact.
+def new_voice_contacts(unmatched: DataFrame, threshold: float = 0.55, block: int = BLOCK) -> DataFrame:
+    """(id, first_id, name, conf) of segments that nothing matched: later ones join earlier ones' new contact.
 
-    Best-fit clustering in order of id, within shards of calls that grow in number with the input;
-    the contact is named by its first segment. Contacts of different shards may be one voice:
-    merge_same_voice, which comes next, joins those. One shard gives the plain answer.
+    In order of id a segment goes to the nearest of the new contacts so far, or is the first of one,
+    by whose id it is named. A contact's voice is that of its first segment. Settled in rounds: the
+    answer is the plain loop's on any partitions.
     """
+    rows = cut(unmatched.select(F.lit(0).alias("all"), "id", unit(F.col("embedding")).alias("v")))
+    found = followed(rows, leaders(rows, threshold, "all", "id", "v", block), threshold, "all", "id", "v", block=block)
+    return found.select("id", F.col("leader").alias("first_id"), F.concat(F.lit(NEW_VOICE), F.col("leader").cast("string")).alias("name"), F.lit(0.7).alias("conf"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        lab = best_fit(np.stack([np.asarray(v, float) for v in pdf["v"]]), threshold)
-        first = pdf.groupby(np.array(lab))["id"].transform("first")
-        return pd.DataFrame({"id": pdf["id"], "name": "未知声纹" + first.astype(str), "conf": 0.7})
 
-    shard = F.pmod(F.xxhash64("call_id"), F.lit(_shards(unmatched, shards)))
-    return unmatched.select("id", unit(F.col("embedding")).alias("v"), shard.alias("shard")).groupBy("shard").applyInPandas(run, "id long, name string, conf double")
+def fresh_id(name: Column) -> Column:
+    """An id for a new row: a hash of its name, negative, so that it is none of the ids given so far."""
+    return F.xxhash64(name).bitwiseOR(F.lit(-(2**63)))
+
+
+def add_new_voices(found: DataFrame, segments: DataFrame, contacts: DataFrame, voiceprints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """segments with their new contacts, contacts with a row for each, and voiceprints with its first segment (quality 0.6)."""
+    ids = found.select(F.col("id").alias("_id"), fresh_id(F.col("name")).alias("_new"), F.col("conf").alias("_conf"))
+    seg = segments.join(ids, segments["id"] == ids["_id"], "left")
+    old = F.col("contact_conf") if "contact_conf" in segments.columns else F.lit(None).cast("double")
+    seg = seg.withColumns({"contact_conf": F.coalesce("_conf", old), "contact_id": F.coalesce("_new", "contact_id")}).drop("_id", "_new", "_conf")
+    firsts = found.where("id = first_id").select("id", "name")
+    rows = firsts.join(contacts.select("name"), "name", "left_anti").select(fresh_id(F.col("name")).alias("id"), "name")
+    if "note" in contacts.columns:
+        rows = rows.withColumn("note", F.lit(NEW_VOICE_NOTE))
+    prints = segments.select("id", "call_id", "embedding").join(firsts, "id").join(voiceprints.where("source_segment_id is not null").select(F.col("source_segment_id").alias("id")), "id", "left_anti")
+    prints = prints.select(fresh_id(F.col("name")).alias("contact_id"), unit(F.col("embedding")).alias("embedding"), F.col("call_id").alias("source_call_id"), F.col("id").alias("source_segment_id"), F.lit(0.6).alias("quality"))
+    return seg, contacts.unionByName(rows, allowMissingColumns=True), voiceprints.unionByName(prints, allowMissingColumns=True)
 
 
 def grow_voiceprints(segments: DataFrame, voiceprints: DataFrame, cap: int = 8) -> DataFrame:
@@ -274,10 +244,10 @@ def merge_same_phone(contacts: DataFrame) -> DataFrame:
     return rows.select("id", F.first("id").over(w).alias("keep_id")).where("id <> keep_id").select(F.col("id").alias("drop_id"), "keep_id")
 
 
-def merge_same_voice(contacts: DataFrame, voiceprints: DataFrame, threshold: float = 0.8, block: int = 2048) -> DataFrame:
+def merge_same_voice(contacts: DataFrame, voiceprints: DataFrame, threshold: float = 0.8, **search: int) -> DataFrame:
     """(drop_id, keep_id) of contacts but seats whose voices are near: real name, most calls, lowest id.
 
-    Order-free: all near pairs of centroids are found in blocks, connected, and each group's
+    Order-free: links that connect all near centroids are found through pivot cells, and each group's
     survivor is chosen; centroids are computed anew from the joined voiceprints until nothing is
     near. Every round but the last leaves fewer people, so the rounds end.
     """
@@ -285,40 +255,19 @@ def merge_same_voice(contacts: DataFrame, voiceprints: DataFrame, threshold: flo
     prints = cut(voiceprints.join(people.select(F.col("id").alias("contact_id")), "contact_id", "left_semi").select("contact_id", "embedding"))
     merged = people.select(F.col("id").alias("drop_id"), F.col("id").alias("keep_id"))
     while True:
-        near = cut(near_pairs(contact_centroids(prints), threshold, block))
+        near = cut(near_links(contact_centroids(prints), threshold, "contact_id", **search).where("a is not null").select("a", "b"))
         if near.isEmpty():
             break
         groups = components(near).withColumnRenamed("node", "id")
-        w = Window.partitionBy("component").orderBy(_real().cast("int").desc(), F.desc("n_calls"), "id")
-        kept = people.join(groups, "id").select("id", F.first("id").over(w).alias("to"))
-        step = cut(kept.where("id <> to"))
+        best = F.min_by("id", F.struct((~_real()).alias("bare"), (-F.col("n_calls")).alias("few"), "id"))
+        kept = with_group(people.join(groups, "id"), ["component"], F.col("id"), to=best)
+        step = cut(kept.where("id <> to").select("id", "to"))
         moved = lambda df, c: df.join(step, df[c] == step["id"], "left").withColumn(c, F.coalesce("to", c)).drop("id", "to")  # noqa: B023, E731
         merged, prints = cut(moved(merged, "keep_id")), cut(moved(prints, "contact_id"))
         people = cut(people.join(step.select("id"), "id", "left_anti"))
     return merged.where("drop_id <> keep_id")
 
 
-def near_pairs(centroids: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """(a, b) of contacts (a < b) whose centroids' cosine is the threshold or more, block against block."""
-    n = max(1, -(-centroids.count() // block))
-    rows = centroids.select("contact_id", "mean", F.pmod(F.xxhash64("contact_id"), F.lit(n)).cast("int").alias("own"))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    rows = rows.withColumn("other", F.explode(every)).select("contact_id", "mean", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("contact_id")
-        left, right = pdf[pdf["own"] == pdf["lo"]], pdf[pdf["own"] == pdf["hi"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": pdf["contact_id"][:0], "b": pdf["contact_id"][:0]})
-        stack = lambda d: np.stack([np.asarray(v, float) for v in d["mean"]])
-        i, j = np.nonzero(stack(left) @ stack(right).T >= threshold)
-        x, y = left["contact_id"].to_numpy()[i], right["contact_id"].to_numpy()[j]
-        out = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-        return out[out["a"] != out["b"]].drop_duplicates()
-
-    return rows.groupBy("lo", "hi").applyInPandas(meet, "a long, b long")
-
-
 def apply_merges(contacts: DataFrame, merges: DataFrame, rows: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Contacts after merging, with the names and phones of the dropped in the survivor's note, and rows repointed.
 

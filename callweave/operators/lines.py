@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.functions.components import cut, with_group
+from callweave.functions.leaders import BLOCK, PIECE, followed, joined_up, leaders, pieces, sortable, stacked
 from callweave.functions.text import extract_seat_label
-from callweave.functions.vectors import best_fit, means, norm
+from callweave.functions.vectors import dot, means, norm, sums, unit
 from callweave.operators.stats import live, recent
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,45 +26,68 @@ def _members(centroids: DataFrame, calls: DataFrame) -> DataFrame:
     return centroids.join(c, "call_id")
 
 
-def cluster_line(centroids: DataFrame, calls: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(contact_hint, line_kind, cluster, n_calls, mean, call_ids, intra, separation) of each line's voices.
+def line_voices(centroids: DataFrame, calls: DataFrame, threshold: float = 0.5, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
+    """(contact_hint, call_id, cluster, v) of the calls of lines with two or more: which voice of its line a call has.
 
-    Best-fit clustering of a line's calls in order of id; the line's kind is that of its first call.
-    Intra is the mean cosine of a cluster's calls to its centre, separation the smallest cosine
-    between two centres of the line (1 for one). A task gets one row for each call of a line.
+    In order of call, a centroid follows the nearest leading one of its line, or leads; clusters whose
+    means are near join, largest first; then every call goes to the nearest mean. Clusters are numbered
+    by their first calls. All in rounds and pieces of bounded size, so that a line of any length isn't
+    one task, and the answer doesn't depend on the partitions. The plain loop moves its centres call by
+    call: the same clusters where voices are further apart than their calls are.
     """
+    rows = cut(_members(centroids, calls).select("contact_hint", "call_id", sortable(F.col("call_id")).alias("first"), unit(F.col("mean")).alias("v")))
+    rows = with_group(rows, ["contact_hint"], F.col("call_id"), _n=F.count("*")).where("_n >= 2").drop("_n")
+    own = followed(rows, leaders(rows, threshold, "contact_hint", "first", "v", block, piece), threshold, "contact_hint", "first", "v", True, block, piece)
+    member = cut(rows.join(own.select("contact_hint", "first", "leader"), ["contact_hint", "first"]))
+    total = sums(member, ["contact_hint", "leader"], "v").select("contact_hint", F.col("leader").alias("first"), F.col("n").alias("size"), "total")
+    up = joined_up(total, threshold, "contact_hint", block, piece)
+    centres = cut(means(member.join(up.select("contact_hint", F.col("first").alias("leader"), "to"), ["contact_hint", "leader"]), ["contact_hint", "to"], "v"))
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("to")
+        m, to = stacked(right["mean"]), right["to"].to_numpy()
+        k = np.concatenate([(stacked(left["v"].iloc[i : i + 2048]) @ m.T).argmax(1) for i in range(0, len(left), 2048)]) if len(left) else np.zeros(0, int)
+        return left[["contact_hint", "call_id", "v"]].assign(to=to[k])
+
+    a, b = pieces(rows, centres, ["contact_hint"], "call_id", piece)
+    near = cut(a.groupBy("contact_hint", "_piece").cogroup(b.groupBy("contact_hint", "_piece")).applyInPandas(nearest, "contact_hint string, call_id long, v array<double>, to string"))
+    no = near.groupBy("contact_hint", "to").agg(F.min("call_id").alias("_first"))
+    no = no.withColumn("cluster", F.row_number().over(Window.partitionBy("contact_hint").orderBy("_first")) - 1).select("contact_hint", "to", "cluster")
+    return cut(near.join(no, ["contact_hint", "to"]).select("contact_hint", "call_id", "cluster", "v"))
+
+
+def cluster_line(members: DataFrame, calls: DataFrame) -> DataFrame:
+    """(contact_hint, line_kind, cluster, n_calls, mean, intra) of each line's voices, from line_voices.
+
+    The line's kind is that of its first call. Intra is the mean cosine of a cluster's calls to its centre.
+    """
+    centres = sums(members, ["contact_hint", "cluster"], "v")
+    length = F.sqrt(dot(F.col("total"), F.col("total")))  # of unit vectors: their mean cosine to the centre is that of the sum over n
+    kinds = members.join(calls.select(F.col("id").alias("call_id"), "line_kind"), "call_id").groupBy("contact_hint").agg(F.min_by("line_kind", "call_id").alias("line_kind"))
+    rows = centres.select("contact_hint", "cluster", F.col("n").cast("int").alias("n_calls"), unit(F.col("total")).alias("mean"), (length / F.col("n")).alias("intra"))
+    return rows.join(kinds, "contact_hint").select("contact_hint", F.coalesce("line_kind", F.lit("person")).alias("line_kind"), "cluster", "n_calls", "mean", "intra")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("call_id")
-        if len(pdf) < 2:
-            return pd.DataFrame(columns=["contact_hint", "line_kind", "cluster", "n_calls", "mean", "call_ids", "intra", "separation"])
-        m = np.stack([np.asarray(v, float) for v in pdf["mean"]])
-        lab = np.array(best_fit(m, threshold))
-        centres = []
-        for k in range(lab.max() + 1):
-            c, n = m[lab == k][0], 1
-            for v in m[lab == k][1:]:
-                c, n = norm(c * n + v), n + 1
-            centres.append(c)
-        x = np.stack(centres)
-        s = x @ x.T
-        sep = float(s[np.triu_indices(len(x), 1)].min()) if len(x) > 1 else 1.0
-        ids = pdf["call_id"].to_numpy()
-        kind = pdf["line_kind"].iloc[0] or "person"
-        rows = [(pdf["contact_hint"].iloc[0], kind, k, int((lab == k).sum()), c.tolist(), ids[lab == k].tolist(), float((m[lab == k] @ c).mean()), sep) for k, c in enumerate(centres)]
-        return pd.DataFrame(rows, columns=["contact_hint", "line_kind", "cluster", "n_calls", "mean", "call_ids", "intra", "separation"])
-
-    schema = "contact_hint string, line_kind string, cluster int, n_calls int, mean array<double>, call_ids array<long>, intra double, separation double"
-    return _members(centroids, calls).groupBy("contact_hint").applyInPandas(run, schema)
-
-
-def cluster_separation(clusters: DataFrame) -> DataFrame:
-    """(contact_hint, separation): the smallest cosine between the centres that a decision keeps."""
-    from callweave.functions.vectors import dot
-
-    a, b = clusters.alias("a"), clusters.alias("b")
-    pairs = a.join(b, (F.col("a.contact_hint") == F.col("b.contact_hint")) & (F.col("a.cluster") < F.col("b.cluster")))
-    return pairs.groupBy(F.col("a.contact_hint").alias("contact_hint")).agg(F.min(dot(F.col("a.mean"), F.col("b.mean"))).alias("separation"))
+def cluster_separation(clusters: DataFrame, piece: int = BLOCK) -> DataFrame:
+    """(contact_hint, separation): the smallest cosine between two centres; no row for a line of one."""
+
+    def least(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"contact_hint": left["contact_hint"][:0], "separation": pd.Series([], dtype=float)})
+        s = stacked(left["mean"]) @ stacked(right["mean"]).T
+        s[left["cluster"].to_numpy()[:, None] == right["cluster"].to_numpy()[None]] = np.inf
+        return pd.DataFrame({"contact_hint": left["contact_hint"][:1], "separation": [float(s.min())]})
+
+    rows = clusters.select("contact_hint", "cluster", "mean")
+    a, b = pieces(rows, rows.toDF(*rows.columns), ["contact_hint"], "cluster", piece)
+    # the other side comes in blocks as well, so that a task holds a piece and a block
+    b = with_group(b, ["contact_hint"], F.col("cluster"), _n=F.ceil(F.count("*") / F.lit(piece)).cast("int"))
+    n = b.select("contact_hint", "_n").distinct()
+    b = b.withColumn("_block", F.pmod(F.xxhash64("cluster"), F.col("_n")).cast("int")).drop("_n")
+    a = a.join(n, "contact_hint").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    keys = ["contact_hint", "_piece", "_block"]
+    every = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(least, "contact_hint string, separation double")
+    return every.groupBy("contact_hint").agg(F.min("separation").alias("separation")).where("separation < double('infinity')")
 
 
 def split_decision(clusters: DataFrame, need_line: int = 2, need_person: int = 3, max_line: float = 0.45, max_person: float = 0.35) -> DataFrame:
@@ -99,13 +124,13 @@ def reuse_seats(clusters: DataFrame, seats: DataFrame, threshold: float = 0.5) -
     return clusters.groupBy("contact_hint").cogroup(seats.groupBy("contact_hint")).applyInPandas(claim, "contact_hint string, cluster int, seat_id long")
 
 
-def name_seats(clusters: DataFrame, segments: DataFrame, claimed: DataFrame, seats: DataFrame) -> DataFrame:
+def name_seats(clusters: DataFrame, members: DataFrame, segments: DataFrame, claimed: DataFrame, seats: DataFrame) -> DataFrame:
     """(contact_hint, cluster, seat_id, name): line·label from the first sound introduction, else a free letter.
 
     A claimed seat keeps its name unless that is a letter and a label has been heard. seats has
     (contact_hint, seat_id, name). A label that is the line's name, in it or around it doesn't count.
     """
-    calls = clusters.select("contact_hint", "cluster", F.explode("call_ids").alias("call_id"))
+    calls = members.select("contact_hint", "cluster", "call_id")
     heard = segments.where("who = 'other' and text_zh is not null").join(calls, "call_id").withColumn("label", extract_seat_label(F.col("text_zh"))).where("label is not null")
     heard = heard.where(~(F.contains("label", F.col("contact_hint")) | F.contains(F.col("contact_hint"), F.col("label"))))
     label = heard.groupBy("contact_hint", "cluster").agg(F.min_by("label", F.struct("call_id", "idx")).alias("label"))
@@ -124,7 +149,7 @@ def name_seats(clusters: DataFrame, segments: DataFrame, claimed: DataFrame, sea
     return rows.select("contact_hint", "cluster", "seat_id", name.alias("name"))
 
 
-def apply_split(clusters: DataFrame, named: DataFrame, segments: DataFrame, centroids: DataFrame, contacts: DataFrame, voiceprints: DataFrame | None = None) -> dict[str, DataFrame]:
+def apply_split(clusters: DataFrame, members: DataFrame, named: DataFrame, segments: DataFrame, centroids: DataFrame, contacts: DataFrame, voiceprints: DataFrame | None = None) -> dict[str, DataFrame]:
     """contacts with organisations and seats added or marked, segments repointed, and all voiceprints.
 
     Contacts keep all their columns, and n_calls is counted anew where they have it. An organisation
@@ -144,7 +169,8 @@ def apply_split(clusters: DataFrame, named: DataFrame, segments: DataFrame, cent
     renamed = named.where("seat_id is not null").select(F.col("seat_id").alias("id"), F.col("name").alias("_new"))
     out = every.join(renamed, "id", "left").withColumn("name", F.coalesce("_new", "name")).drop("_new").unionByName(new_seats, allowMissingColumns=True)
     ids = out.select("name", F.col("id").alias("to"))
-    calls = clusters.join(named, ["contact_hint", "cluster"]).join(ids, "name").select(F.explode("call_ids").alias("call_id"), "to")
+    to = clusters.select("contact_hint", "cluster").join(named, ["contact_hint", "cluster"]).join(ids, "name").select("contact_hint", "cluster", "to")
+    calls = cut(members.join(to, ["contact_hint", "cluster"]).select("call_id", "to"))
     moved = segments.join(calls, "call_id", "left")
     hit = F.col("to").isNotNull() & (F.col("who") == "other")
     old = F.col("contact_conf") if "contact_conf" in segments.columns else F.lit(None).cast("double")

@@ -44,13 +44,14 @@ def align(t: Tables, threshold: float = 0.55) -> Tables:
 def split_lines(t: Tables) -> Tables:
     """Voices on shared lines become seats."""
     centroids = lines.other_centroids(t["segments"])
-    clusters = lines.split_decision(lines.cluster_line(centroids, t["calls"]))
+    members = lines.line_voices(centroids, t["calls"])
+    clusters = cut(lines.split_decision(lines.cluster_line(members, t["calls"])))
     orgs = t["contacts"].where("kind = 'seat'").select(F.col("id").alias("seat_id"), "name", F.col("parent_id"))
     seats = orgs.join(t["contacts"].select(F.col("id").alias("parent_id"), F.col("name").alias("contact_hint")), "parent_id")
     voices = identity.contact_centroids(t["voiceprints"]).select(F.col("contact_id").alias("seat_id"), "mean")
     claimed = lines.reuse_seats(clusters, seats.join(voices, "seat_id").select("contact_hint", "seat_id", "mean"))
-    named = lines.name_seats(clusters, t["segments"], claimed, seats.select("contact_hint", "seat_id", "name"))
-    return t | lines.apply_split(clusters, named, t["segments"], centroids, t["contacts"], t["voiceprints"])
+    named = lines.name_seats(clusters, members, t["segments"], claimed, seats.select("contact_hint", "seat_id", "name"))
+    return t | lines.apply_split(clusters, members, named, t["segments"], centroids, t["contacts"], t["voiceprints"])
 
 
 def relate(t: Tables, responses: DataFrame | None = None) -> Tables:

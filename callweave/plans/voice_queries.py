@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callweave import fixtures as fx
+from callweave.functions.components import cut
 from callweave.functions.text import stem
 from callweave.functions.vectors import dot, unit
 from callweave.operators import clips, identity, lines
@@ -51,7 +52,8 @@ def v2_diarize(spark, d):
 
 @query()
 def v3_bootstrap_me(spark, d):
-    return _me(spark, d).select("n_samples", F.size("mean_embedding").alias("dim"))
+    ones = F.array_repeat(F.lit(1.0 / 8), 64)
+    return _me(spark, d).select("n_samples", F.size("mean_embedding").alias("dim"), F.round(dot(F.col("mean_embedding"), ones), 6).alias("cos_one"))
 
 
 @query(f"""{W}, {PLANTED}, {_cent('c', 'spk_local')}, s AS (SELECT v FROM pv WHERE id = 0), u AS (SELECT list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS m FROM c WHERE spk_local = '0'),
@@ -139,11 +141,28 @@ def v11_resolve_contact(spark, d):
     return identity.resolve_contact(seg, m, fx.calls(spark, d), fx.contacts(spark, d)).select("id", "contact_id", F.round("conf", 4).cast("decimal(9,3)").alias("conf"))
 
 
-@query()
+#: The plain loop: segments in order of id, each with the earlier ones that are near, and who leads so far.
+LOOP = f"""{W}, {PLANTED}, o AS (SELECT id, v, row_number() OVER (ORDER BY id) AS no FROM pv WHERE who = 'other'),
+nb AS (SELECT a.no, a.id, list(b.id) FILTER (b.id IS NOT NULL) AS near FROM o a LEFT JOIN o b ON b.no < a.no AND {_cos('a.v', 'b.v')} >= 0.55 GROUP BY ALL),
+walk(no, leads) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT nb.no, CASE WHEN list_has_any(coalesce(near, []), leads) THEN leads ELSE list_append(leads, id) END FROM walk JOIN nb ON nb.no = walk.no + 1),
+l AS (SELECT unnest(leads) AS first_id FROM walk WHERE no = (SELECT max(no) FROM walk))"""
+
+
+@query(f"""{LOOP.replace('WITH', 'WITH RECURSIVE', 1)}, s AS (SELECT o.id, first_id, CASE WHEN o.id = first_id THEN 1 ELSE {_cos('o.v', 'f.v')} END AS sim FROM o, l JOIN o f ON f.id = first_id WHERE first_id <= o.id)
+SELECT id, first_id, '未知声纹' || first_id AS name, CAST(0.7 AS DOUBLE) AS conf FROM s WHERE sim >= 0.55 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, first_id) = 1""")
 def v12_new_voice_contacts(spark, d):
     return identity.new_voice_contacts(_open(spark, d).where("who = 'other'"))
 
 
+@query(f"""{LOOP.replace('WITH', 'WITH RECURSIVE', 1)} SELECT '未知声纹' || first_id AS name, pv.call_id AS source_call_id, first_id AS source_segment_id, CAST(0.6 AS DOUBLE) AS quality FROM l JOIN pv ON id = first_id""")
+def v12_new_voiceprints(spark, d):
+    """The contacts and voiceprints that come of new voices, by the contact's name."""
+    seg = _open(spark, d)
+    empty = _prints(spark, d).withColumn("quality", F.lit(0.5)).limit(0)
+    _, contacts, prints = identity.add_new_voices(cut(identity.new_voice_contacts(seg.where("who = 'other'"))), seg, fx.contacts(spark, d), empty)
+    return prints.join(contacts.select(F.col("id").alias("contact_id"), "name"), "contact_id").select("name", "source_call_id", "source_segment_id", "quality")
+
+
 @query(f"""{W}, {PLANTED}, {VP}, x AS (SELECT contact_id, id AS source_segment_id, call_id AS source_call_id, row_number() OVER (PARTITION BY contact_id ORDER BY id) AS no FROM pv WHERE id NOT IN (SELECT id FROM vp))
 SELECT contact_id, source_segment_id, source_call_id, CAST(0.5 AS DOUBLE) AS quality FROM x WHERE no <= 8 - (SELECT count(*) FROM vp WHERE vp.contact_id = x.contact_id)""")
 def v13_grow_voiceprints(spark, d):
@@ -204,18 +223,30 @@ def _line_voices(spark, d):
     return v.withColumns({"embedding": moved, "who": F.when(F.col("id") % 5 < 3, "other").otherwise("me")})
 
 
-def _clusters(spark, d):
-    return lines.cluster_line(lines.other_centroids(_line_voices(spark, d)), _line_calls(spark, d))
+def _members(spark, d):
+    return lines.line_voices(lines.other_centroids(_line_voices(spark, d)), _line_calls(spark, d))
+
+
+def _clusters(spark, d, members=None):
+    return lines.cluster_line(members or _members(spark, d), _line_calls(spark, d))
 
 
-@query(f"{W} SELECT call_id, count(*) AS n FROM voices WHERE id % 5 < 3 GROUP BY 1 HAVING count(*) >= 2")
+@query(f"""{W}, p AS (SELECT id, call_id, i, CAST(embedding[i + 1] AS DOUBLE) + CASE WHEN i % 2 = floor(call_id / 4) % 2 THEN 0.5 ELSE 0 END AS x FROM voices, range(64) r(i) WHERE id % 5 < 3),
+m AS (SELECT call_id, i, avg(x) AS x, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 2) SELECT call_id, max(n) AS n, CAST(round({_cos('list(x ORDER BY i)', '[(j + 1.0)::DOUBLE for j in range(64)]')}, 4) AS DECIMAL(9,3)) AS cos_ramp FROM m GROUP BY 1""")
 def l1_other_centroids(spark, d):
-    return lines.other_centroids(_line_voices(spark, d)).select("call_id", "n")
+    """The mean by its cosine to (1, 2, ..., 64)."""
+    ramp = unit(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: x.cast("double")))
+    return lines.other_centroids(_line_voices(spark, d)).select("call_id", "n", F.round(dot(F.col("mean"), ramp), 4).cast("decimal(9,3)").alias("cos_ramp"))
 
 
 @query()
 def l2_cluster_line(spark, d):
-    return _clusters(spark, d).select("contact_hint", "cluster", "n_calls", "call_ids")
+    return _clusters(spark, d).select("contact_hint", "line_kind", "cluster", "n_calls", F.round("intra", 6).alias("intra"))
+
+
+@query()
+def l2_line_voices(spark, d):
+    return _members(spark, d).drop("v")
 
 
 @query()
@@ -244,22 +275,24 @@ def l6_reuse_seats(spark, d):
 
 
 def _named(spark, d):
-    c = lines.split_decision(_clusters(spark, d))
+    members = _members(spark, d)
+    c = cut(lines.split_decision(_clusters(spark, d, members)))
     text = F.when(F.col("call_id") % 40 == 4, "您好，工号0123为您服务").otherwise("好的")
     seg = _line_voices(spark, d).withColumns({"text_zh": text, "idx": F.col("id").cast("int")})
-    return c, seg, lines.name_seats(c, seg, lines.reuse_seats(c, _seats(spark, d)), _seats(spark, d))
+    seats = cut(_seats(spark, d))
+    return c, members, seg, lines.name_seats(c, members, seg, lines.reuse_seats(c, seats), seats)
 
 
 @query()
 def l7_name_seats(spark, d):
-    return _named(spark, d)[2]
+    return _named(spark, d)[3]
 
 
 @query()
 def l8_apply_split(spark, d):
-    c, seg, named = _named(spark, d)
+    c, members, seg, named = _named(spark, d)
     contacts = fx.contacts(spark, d)
-    out = lines.apply_split(c, named, seg, lines.other_centroids(_line_voices(spark, d)), contacts)
+    out = lines.apply_split(c, members, named, seg, lines.other_centroids(_line_voices(spark, d)), contacts)
     # new rows by name, whose ids are hashes; and how many segments and voiceprints each contact has
     c, seg, prints = out["contacts"], out["segments"], out["voiceprints"]
     n = seg.groupBy("contact_id").agg(F.count("*").alias("n_segments")).join(prints.groupBy("contact_id").agg(F.count("*").alias("n_prints")), "contact_id", "left")

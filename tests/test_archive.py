@@ -84,8 +84,8 @@ def centroid_rows(spark, vectors):
 def test_owner_needs_enough_calls(spark):
     e = np.eye(4)
     assert identity.bootstrap_me(centroid_rows(spark, [e[0]] * 4)).count() == 0
-    for shards in (1, 3):
-        r = identity.bootstrap_me(centroid_rows(spark, [e[0]] * 5 + [e[1], e[2]]), shards=shards).first()
+    for block in (3, 4096):
+        r = identity.bootstrap_me(centroid_rows(spark, [e[0]] * 5 + [e[1], e[2]]), block=block).first()
         assert r.n_samples == 5 and abs(r.mean_embedding[0] - 1) < 1e-6
 
 
@@ -112,19 +112,20 @@ def test_voices_merge_until_nothing_is_near(spark):
     con = spark.createDataFrame([(i, f"n{i}", None, None, 1) for i in range(4)], "id long, name string, phone string, kind string, n_calls long")
     v = [e[0], e[0] + 0.1 * e[1], e[1], e[2]]
     vp = spark.createDataFrame([(i, [float(x) for x in u]) for i, u in enumerate(v)], "contact_id long, embedding array<double>")
-    assert [tuple(r) for r in identity.merge_same_voice(con, vp, block=2).collect()] == [(1, 0)]
+    assert [tuple(r) for r in identity.merge_same_voice(con, vp, block=2, piece=3).collect()] == [(1, 0)]
 
 
 def test_line_with_two_voices_is_split(spark):
     e = np.eye(4)
     cents = spark.createDataFrame([(i, [float(x) for x in e[i % 2]], 2) for i in range(6)], "call_id long, mean array<double>, n long")
     calls = spark.createDataFrame([(i, "line", "shared_line", "95588", None) for i in range(6)], "id long, contact_hint string, line_kind string, phone string, dup_of long")
-    c = lines.split_decision(lines.cluster_line(cents, calls))
+    members = lines.line_voices(cents, calls)
+    c = lines.split_decision(lines.cluster_line(members, calls))
     assert sorted(r.n_calls for r in c.collect()) == [3, 3]
     seats = spark.createDataFrame([("line", 9, [1.0, 0.0, 0.0, 0.0], "line·A")], "contact_hint string, seat_id long, mean array<double>, name string")
     claimed = lines.reuse_seats(c, seats)
     seg = spark.createDataFrame([(i, i, "other", "我叫李明") for i in range(1, 6, 2)], "call_id long, idx int, who string, text_zh string")
-    named = {r.cluster: (r.seat_id, r.name) for r in lines.name_seats(c, seg, claimed, seats).collect()}
+    named = {r.cluster: (r.seat_id, r.name) for r in lines.name_seats(c, members, seg, claimed, seats).collect()}
     assert named == {0: (9, "line·A"), 1: (None, "line·李明")}
 
 
@@ -144,26 +145,6 @@ def test_clip_budget(spark):
     assert [None if r.e is None else round(r.e, 6) for r in e] == [0.0, 0.25, None]
 
 
-def test_shards_of_voices_give_the_plain_answer(spark):
-    rng = np.random.default_rng(8)
-    e = np.eye(12)
-    rows = [(i, "0", e[0] + rng.normal(0, 0.05, 12)) for i in range(60)] + [(i, "1", e[1 + i % 11] + rng.normal(0, 0.05, 12)) for i in range(60)]
-    df = spark.createDataFrame([(c, s, [float(x) for x in v / np.linalg.norm(v)], 1) for c, s, v in rows], "call_id long, spk_local string, mean array<double>, n long")
-    one = identity.bootstrap_me(df, shards=1).first()
-    many = identity.bootstrap_me(df, shards=40).first()
-    assert one.n_samples == many.n_samples == 60 and np.dot(one.mean_embedding, many.mean_embedding) > 0.999
-    seg = spark.createDataFrame([(i, c, [float(x) for x in v]) for i, (c, _, v) in enumerate(rows)], "id long, call_id long, embedding array<double>")
-    names = {r.id: r.name for r in identity.new_voice_contacts(seg, shards=1).collect()}
-    assert len(set(names.values())) == 12
-    apart = {r.id: r.name for r in identity.new_voice_contacts(seg, shards=4).collect()}
-    # voices never share a contact, and the contacts of shards merge into the plain ones
-    assert all(names[i] == names[j] for i in apart for j in apart if apart[i] == apart[j])
-    number = {n: k for k, n in enumerate(sorted(set(apart.values())))}
-    con = spark.createDataFrame([(k, n, None, None, 0) for n, k in number.items()], "id long, name string, phone string, kind string, n_calls long")
-    prints = spark.createDataFrame([(number[apart[i]], [float(x) for x in v]) for i, (_, _, v) in enumerate(rows)], "contact_id long, embedding array<double>")
-    assert len(number) - identity.merge_same_voice(con, prints).count() == 12
-
-
 def test_separation_cohesion_and_seats_by_hand(spark):
     c = spark.createDataFrame([("l", "shared_line", 0, 3, [1.0, 0.0], 0.9), ("l", "shared_line", 1, 2, [0.6, 0.8], 0.8), ("l", "shared_line", 2, 2, [0.0, 1.0], 0.7), ("m", "person", 0, 2, [1.0, 0.0], 1.0)], "contact_hint string, line_kind string, cluster int, n_calls int, mean array<double>, intra double")
     assert [(r.contact_hint, round(r.separation, 6)) for r in lines.cluster_separation(c).collect()] == [("l", 0.0)]
