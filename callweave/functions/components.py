@@ -6,30 +6,39 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Parts that the rows of one key are dealt to where they meet a value of their key.
 SALTS = 64
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written as a table to the checkpoint folder and read back, so that plans start there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between stages, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only on one machine, as in tests, is a
-    temporary one made where that is unset; a cluster without one is an error, as its executors
-    couldn't read each other's folders.
+    The session's ``spark.checkpoint.dir``. Only on one machine, as in tests, is a temporary one made
+    where that is unset; a cluster without one is an error, as its executors couldn't read each
+    other's folders.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="callweave-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as a table to the shared folder and read back, so that plans start there."""
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_group(rows: DataFrame, by: list[str], salt: Column, then: Callable[[DataFrame], DataFrame] | None = None, **aggregates: Column) -> DataFrame:

@@ -84,6 +84,9 @@ def average_linkage(vectors: np.ndarray, k: int = 2) -> list[int]:
     """Labels by first appearance of k clusters of average linkage on cosine distance.
 
     Fewer than three vectors are one speaker, as are two clusters whose centres are closer than 0.8.
+    Merges are found by chains of nearest neighbours: two clusters that are each other's nearest will
+    be merged in any case, so a chain that ends in such a pair merges it, in all in quadratic time. The
+    n - k lowest merges are those of always merging the nearest pair.
     """
     n = len(vectors)
     if n < 3:
@@ -91,21 +94,38 @@ def average_linkage(vectors: np.ndarray, k: int = 2) -> list[int]:
     x = np.stack([norm(v) for v in vectors])
     d = 1 - x @ x.T
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    live = np.ones(n, bool)
-    for _ in range(n - k):
-        i, j = sorted(divmod(int(d.argmin()), n))
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[j], d[:, j] = np.inf, np.inf
-        d[i, i] = np.inf
-        d[i, ~live] = d[~live, i] = np.inf
-        size[i] += size[j]
-        live[j] = False
-        label[label == j] = i
-    groups = list(dict.fromkeys(label.tolist()))
+    size, live, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(live.argmax()))
+        while True:
+            row = d[chain[-1]]
+            j = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[j]:
+                break
+            chain.append(j)
+        a, b = sorted((chain.pop(), chain.pop()))
+        merges.append((d[a, b], a, b))
+        merged = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        merged[[a, b]] = np.inf
+        d[a], d[:, a], d[b], d[:, b] = merged, merged, np.inf, np.inf
+        size[a] += size[b]
+        live[b] = False
+    label = list(range(n))
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: n - k]:
+        i, j = root(a), root(b)
+        label[max(i, j)] = min(i, j)
+    own = [root(i) for i in range(n)]
+    groups = list(dict.fromkeys(own))
     if len(groups) == 2:
-        a, b = (norm(x[label == g].mean(0)) for g in groups)
+        a, b = (norm(x[np.array(own) == g].mean(0)) for g in groups)
         if float(a @ b) > 0.8:
             return [0] * n
-    return [groups.index(g) for g in label.tolist()]
+    return [groups.index(g) for g in own]

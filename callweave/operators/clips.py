@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callweave.functions.text import ILLEGAL
+from callweave.operators.stats import recent
 
 
 @F.pandas_udf(T.DoubleType())
@@ -38,12 +41,18 @@ def clip_candidates(segments: DataFrame, calls: DataFrame, contacts: DataFrame,
     return out
 
 
-def select_clips(candidates: DataFrame, total: float = 40.0) -> DataFrame:
-    """(speaker, clip, wav_path, start_ms, end_ms, seconds): the best until those before hold total seconds."""
-    cands = candidates.where("energy >= 1e-5").withColumn("score", clip_score(F.col("seconds"), F.col("energy")))
-    w = Window.partitionBy("speaker").orderBy(F.desc("score"), F.desc("wav_path"), F.desc("start_ms"), F.desc("end_ms"), F.desc("text_zh"))
+def select_clips(candidates: DataFrame, total: float = 40.0, min_dur: float = 1.5) -> DataFrame:
+    """(speaker, clip, wav_path, start_ms, end_ms, seconds): the best until those before hold total seconds.
+
+    Clips shorter than ``min_dur`` don't count, so that a speaker has total / min_dur clips at most:
+    so many are kept within each partition before anything is shuffled, and their sums are taken.
+    """
+    cands = candidates.where((F.col("energy") >= 1e-5) & (F.col("seconds") >= min_dur)).withColumn("score", clip_score(F.col("seconds"), F.col("energy")))
+    order = [F.desc("score"), F.desc("wav_path"), F.desc("start_ms"), F.desc("end_ms"), F.desc("text_zh")]
+    few = recent(cands, ["speaker"], order, math.ceil(total / min_dur))
+    w = Window.partitionBy("speaker").orderBy(*order)
     before = F.coalesce(F.sum(F.col("seconds").cast("decimal(18,3)")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = cands.withColumns({"before": before, "no": F.row_number().over(w)}).where(F.col("before") < total)
+    rows = few.withColumns({"before": before, "no": F.row_number().over(w)}).where(F.col("before") < total)
     return rows.select("speaker", F.concat(F.lit("ref_"), F.lpad(F.col("no").cast("string"), 2, "0")).alias("clip"), "wav_path", "start_ms", "end_ms", "seconds")
 
 

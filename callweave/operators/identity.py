@@ -12,7 +12,7 @@ from callweave.functions.components import components, cut, with_group
 from callweave.functions.leaders import BLOCK, followed, joined_up, leaders, sortable, stacked
 from callweave.functions.text import classify_line
 from callweave.functions.vectors import average_linkage, dot, doubles, means, sums, unit
-from callweave.operators.stats import live
+from callweave.operators.stats import live, recent
 
 #: Contacts up to which their centroids are broadcast as one matrix; beyond, an equi-join over blocks.
 FEW_CONTACTS = 100_000
@@ -121,9 +121,11 @@ def renamed_contacts(calls: DataFrame, contacts: DataFrame) -> DataFrame:
     return contacts.where("name = phone").join(free, "phone").select("id", F.col("label").alias("name"))
 
 
-def flag_me_segments(segments: DataFrame, me: DataFrame, threshold: float = 0.6) -> DataFrame:
+def flag_me_segments(segments: DataFrame, me: DataFrame, threshold: float = 0.6, open_only: bool = False) -> DataFrame:
+    """segments of the other side that have the owner's voice become the owner's; ``open_only``: those without a contact."""
     rows = segments.join(F.broadcast(me.select(unit(F.col("mean_embedding")).alias("_me"))))
     near = (F.col("who") == "other") & (dot(unit(F.col("embedding")), F.col("_me")) > threshold)
+    near = near & F.col("contact_id").isNull() if open_only else near
     return rows.withColumn("who", F.when(near, "me").otherwise(F.col("who"))).drop("_me")
 
 
@@ -153,19 +155,23 @@ def match_contacts(segments: DataFrame, centroids: DataFrame, threshold: float =
     return rows.mapInPandas(run, "id long, contact_id long, sim double").where(F.col("sim") >= threshold)
 
 
-def resolve_contact(segments: DataFrame, matches: DataFrame, calls: DataFrame, contacts: DataFrame, seats: DataFrame | None = None) -> DataFrame:
+def resolve_contact(segments: DataFrame, matches: DataFrame, calls: DataFrame, contacts: DataFrame, seats: DataFrame | None = None, by_phone: bool = False) -> DataFrame:
     """(id, contact_id, conf): the voice's contact unless the file name says another.
 
     A hinted person beats the voice (0.95), a hinted organisation too (0.7); without a match the
     hint decides (0.9, organisations 0.7). On an organisation a known seat of (id, seat_id) takes
-    the segment (0.8 with a voice match, 0.75 without).
+    the segment (0.8 with a voice match, 0.75 without). With ``by_phone`` a segment that neither its
+    voice nor its hint gives a contact has the one of its call's number (0.9, organisations 0.7).
     """
     hint = F.coalesce(F.nullif(F.col("contact_hint"), F.lit("")), F.nullif(F.col("phone"), F.lit("")))
     todo = segments.where("who = 'other' and contact_id is null and embedding is not null").select("id", "call_id")
-    c = live(calls).select(F.col("id").alias("call_id"), hint.alias("hint"))
+    c = live(calls).select(F.col("id").alias("call_id"), hint.alias("hint"), "phone")
     named = contacts.groupBy("name").agg(F.min_by(F.struct("id", "kind"), "id").alias("h")).select(F.col("name").alias("hint"), F.col("h.id").alias("hint_id"))
     kinds = contacts.select(F.col("id").alias("target"), "kind")
     rows = todo.join(c, "call_id").join(named, "hint", "left").join(matches.select("id", F.col("contact_id").alias("voice"), "sim"), "id", "left")
+    if by_phone:
+        numbers = contacts.where("phone <> ''").groupBy("phone").agg(F.min("id").alias("phone_id"))
+        rows = rows.join(numbers, "phone", "left").withColumn("hint_id", F.coalesce("hint_id", F.when(F.col("voice").isNull() & F.col("hint").isNotNull(), F.col("phone_id"))))
     rows = rows.withColumn("target", F.coalesce("hint_id", "voice")).where("target is not null").join(kinds, "target", "left")
     org = F.coalesce(F.col("kind") == "org", F.lit(False))
     voiced = F.col("voice").isNotNull()
@@ -209,10 +215,14 @@ def add_new_voices(found: DataFrame, segments: DataFrame, contacts: DataFrame, v
 
 
 def grow_voiceprints(segments: DataFrame, voiceprints: DataFrame, cap: int = 8) -> DataFrame:
-    """New voiceprints (contact_id, source_segment_id, source_call_id, embedding, quality) up to cap a contact."""
+    """New voiceprints (contact_id, source_segment_id, source_call_id, embedding, quality) up to cap a contact.
+
+    The first ``cap`` segments of a contact are kept within each partition before the shuffle.
+    """
     have = voiceprints.groupBy("contact_id").agg(F.count("*").alias("have"))
     used = voiceprints.where("source_segment_id is not null").select(F.col("source_segment_id").alias("id"))
-    rows = segments.where("contact_id is not null and embedding is not null").join(used, "id", "left_anti").join(have, "contact_id", "left")
+    rows = segments.where("contact_id is not null and embedding is not null").join(used, "id", "left_anti")
+    rows = recent(rows.select("contact_id", "id", "call_id", "embedding"), ["contact_id"], [F.col("id").asc()], cap).join(have, "contact_id", "left")
     w = Window.partitionBy("contact_id").orderBy("id")
     return rows.withColumn("no", F.row_number().over(w)).where(F.col("no") <= cap - F.coalesce("have", F.lit(0))).select("contact_id", F.col("id").alias("source_segment_id"), F.col("call_id").alias("source_call_id"), unit(F.col("embedding")).alias("embedding"), F.lit(0.5).alias("quality"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.functions.components import cut
 from callweave.functions.text import strip_tags
 
 STEP, MIN_CHUNK = 20_000, 400
@@ -32,24 +35,49 @@ def split_chunks(segments: DataFrame, step_ms: int = STEP) -> DataFrame:
     return rows.select("call_id", "seg_id", "chunk_no", "start_ms", F.least(F.col("start_ms") + step_ms, "stop").alias("end_ms"))
 
 
-def pack_batches(chunks: DataFrame, items: int = 4, shards: int = 64) -> DataFrame:
-    """(seg_id, n_chunks, shard, batch): consecutive segments of a shard, batches of up to items chunks.
+def pack_batches(chunks: DataFrame, items: int = 4, piece: int = 200_000) -> DataFrame:
+    """(seg_id, n_chunks, batch): all segments in order of call and segment, batches of up to items chunks.
 
-    A segment isn't divided; one with more chunks than fit stands alone. Shards are of whole calls.
+    A segment isn't divided; one with more chunks than fit stands alone. One order, in parallel: a run
+    of segments is a function from the chunks that the open batch holds (0 to items) to those that it
+    holds after the run and the batches closed on the way. Runs of about ``piece`` segments are
+    measured at once, the functions are composed, and each run is numbered from where it begins.
     """
-    rows = chunks.groupBy("call_id", "seg_id").agg(F.count("*").alias("n_chunks")).withColumn("shard", F.pmod(F.xxhash64("call_id"), F.lit(shards)).cast("int"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["call_id", "seg_id"])
-        batch, held, out = 0, 0, []
-        for n in pdf["n_chunks"]:
+    rows = chunks.groupBy("call_id", "seg_id").agg(F.count("*").alias("n_chunks"))
+    parts = max(1, -(-rows.count() // piece))
+    runs = cut(rows.repartitionByRange(parts, "call_id", "seg_id").withColumn("run", F.spark_partition_id()))
+
+    def through(sizes, held: int) -> tuple[list[int], int]:
+        """The batch of each segment, from 0, and what is held in the end."""
+        out, batch = [], 0
+        for n in sizes:
             if held and held + n > items:
                 batch, held = batch + 1, 0
-            held += n
+            held = min(held + n, items)
             out.append(batch)
-        return pdf.assign(batch=out)[["seg_id", "n_chunks", "shard", "batch"]]
+        return out, held
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf.sort_values(["call_id", "seg_id"])["n_chunks"].tolist()
+        ends = [through(sizes, held) for held in range(items + 1)]
+        return pd.DataFrame({"run": int(pdf["run"].iloc[0]), "begins": range(items + 1), "ends": [h for _, h in ends], "closed": [o[-1] for o, _ in ends]})
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, batch, out = 0, 0, []
+        for run, own in pdf.sort_values("run").groupby("run"):
+            out.append((run, held, batch))
+            r = own[own["begins"] == held].iloc[0]
+            held, batch = int(r["ends"]), batch + int(r["closed"])
+        return pd.DataFrame(out, columns=["run", "held", "first"])
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["call_id", "seg_id"])
+        out, _ = through(pdf["n_chunks"].tolist(), int(pdf["held"].iloc[0]))
+        return pdf.assign(batch=np.array(out) + pdf["first"])[["seg_id", "n_chunks", "batch"]]
 
-    return rows.groupBy("shard").applyInPandas(pack, "seg_id long, n_chunks long, shard int, batch long")
+    # items + 1 rows a run
+    starts = runs.groupBy("run").applyInPandas(measure, "run int, begins int, ends int, closed long").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(compose, "run int, held int, first long")
+    return runs.join(F.broadcast(cut(starts)), "run").groupBy("run").applyInPandas(number, "seg_id long, n_chunks long, batch long")
 
 
 def stitch_chunks(results: DataFrame) -> DataFrame:
@@ -70,29 +98,72 @@ def latest_complete(results: DataFrame, segments: DataFrame) -> DataFrame:
     return last.join(want.join(have, "call_id").where("have = want"), "call_id", "left_semi")
 
 
-def fold_refined(segments: DataFrame, results: DataFrame, engine: str = "qwen3-asr") -> DataFrame:
-    """segments with refined text: the old text is kept in text_sv; words set start, end and confidence."""
-    r = results.select(F.col("seg_id").alias("rid"), F.nullif(F.trim("text"), F.lit("")).alias("new"), "words")
+def fold_refined(segments: DataFrame, results: DataFrame, aligner: str = "qwen3-aligner") -> DataFrame:
+    """segments with refined text: the first text is kept in text_sv; words set start, end, source and confidence.
+
+    Only what a result has is changed: one without text leaves the texts, one without words the times,
+    and segments without a result stay as they are.
+    """
+    r = results.select(F.col("seg_id").alias("rid"), F.nullif(F.col("text"), F.lit("")).alias("new"), "words")
     rows = segments.join(r, segments["id"] == r["rid"], "left")
-    hit, timed = F.col("rid").isNotNull(), F.size(F.coalesce("words", F.array())) > 0
-    old = F.col("text_sv") if "text_sv" in segments.columns else F.lit(None).cast("string")
+    old = lambda c, kind: F.col(c) if c in segments.columns else F.lit(None).cast(kind)
+    told, timed = F.col("new").isNotNull(), F.size(F.coalesce("words", F.array())) > 0
     first, last = F.get("words", F.lit(0)), F.element_at("words", -1)
     return rows.withColumns({
-        "text_sv": F.when(hit, F.coalesce(old, F.col("text_zh"))).otherwise(old),
+        "text_sv": F.when(told, F.coalesce(old("text_sv", "string"), F.col("text_zh"))).otherwise(old("text_sv", "string")),
         "text_zh": F.coalesce("new", "text_zh"),
         "start_ms": F.when(timed, first["s"]).otherwise(F.col("start_ms")),
         "end_ms": F.when(timed, last["e"]).otherwise(F.col("end_ms")),
-        "align_source": F.when(timed, F.lit(engine)),
-        "ts_confidence": F.when(timed, F.lit(0.9)),
+        "align_source": F.when(timed, F.lit(aligner)).otherwise(old("align_source", "string")),
+        "ts_confidence": F.when(timed, F.lit(0.9)).otherwise(old("ts_confidence", "double")),
     }).drop("rid", "new", "words")
 
 
-def upsert_outputs(outputs: DataFrame, results: DataFrame, engine: str = "qwen3-asr") -> DataFrame:
-    """asr_outputs with one row for each call and engine; results replace what was there."""
-    new = results.groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct("seg_id", "text"))).alias("l"), F.first("lang", ignorenulls=True).alias("lang"))
-    new = new.select("call_id", F.lit(engine).alias("engine"), "lang", F.array_join(F.col("l.text"), "").alias("text"))
-    old = outputs.select("call_id", "engine", "lang", "text")
-    return old.join(new.select("call_id", "engine"), ["call_id", "engine"], "left_anti").unionByName(new)
+def outputs_of(results: DataFrame, engine: str = "qwen3-asr") -> DataFrame:
+    """(call_id, engine, attempt, lang, text, words) of results: texts joined by blanks, in order of segment."""
+    word = "array<struct<w:string,s:bigint,e:bigint>>"
+    rows = results.groupBy("call_id").agg(F.max("attempt").alias("attempt"), F.sort_array(F.collect_list(F.struct("seg_id", "lang", "text", F.coalesce("words", F.array().cast(word)).alias("words")))).alias("l"))
+    texts = F.filter(F.col("l.text"), lambda t: t.isNotNull() & (t != ""))
+    return rows.select("call_id", F.lit(engine).alias("engine"), "attempt", F.coalesce(F.get(F.col("l.lang"), F.lit(0)), F.lit("")).alias("lang"), F.array_join(texts, " ").alias("text"), F.flatten(F.col("l.words")).alias("words"))
+
+
+def upsert_outputs(outputs: DataFrame, new: DataFrame) -> DataFrame:
+    """One row for each call and engine: the one of the last attempt; of equal ones the new one."""
+    both = outputs.select(*new.columns, F.lit(0).alias("_new")).unionByName(new.withColumn("_new", F.lit(1)))
+    rest = [c for c in new.columns if c not in ("call_id", "engine")]
+    return both.groupBy("call_id", "engine").agg(F.max_by(F.struct(*rest), F.struct("attempt", "_new")).alias("_r")).select(*[F.col(f"_r.{c}") if c in rest else c for c in new.columns])
+
+
+def merge_outputs(folder: str, new: DataFrame, buckets: int = 256) -> DataFrame:
+    """Upserts rows into a table of outputs in a folder that executors share, and returns the table.
+
+    The table is partitioned by a hash of the call. The buckets that the batch touches are read, merged
+    and overwritten; all others stay as they are. A batch that is replayed, whole or after breaking off,
+    gives the same table, as the last attempt wins.
+    """
+    spark = new.sparkSession
+    own = cut(new.withColumn("bucket", F.pmod(F.xxhash64("call_id"), F.lit(buckets)).cast("int")))
+    touched = [r.bucket for r in own.select("bucket").distinct().collect()]
+    read = lambda: spark.read.schema(own.schema).parquet(folder)
+    try:
+        old = read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = spark.createDataFrame([], own.schema)
+    # written apart first: a table can't be overwritten while it is read
+    merged = cut(upsert_outputs(old.where(F.col("bucket").isin(touched)), own))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    return read().drop("bucket")
+
+
+def rebuild_fulltext(calls: DataFrame, segments: DataFrame, results: DataFrame) -> DataFrame:
+    """calls where those of the results have fulltext_zh made anew of their segments' texts, in order."""
+    own = results.select("call_id").distinct()
+    rows = segments.join(own, "call_id", "left_semi").where("text_zh is not null").groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct("idx", "id", "text_zh"))).alias("l"))
+    text = own.join(rows, "call_id", "left").select(F.col("call_id").alias("_call"), F.coalesce(F.array_join(F.col("l.text_zh"), " "), F.lit("")).alias("_text"))
+    old = F.col("fulltext_zh") if "fulltext_zh" in calls.columns else F.lit(None).cast("string")
+    return calls.join(text, calls["id"] == text["_call"], "left").withColumn("fulltext_zh", F.coalesce("_text", old)).drop("_call", "_text")
 
 
 def seam_counts(segments: DataFrame, step_ms: int = STEP) -> DataFrame:
@@ -132,14 +203,23 @@ def seam_suspects(hits: DataFrame, n: int = 20) -> DataFrame:
     return hits.orderBy(F.desc("gap_ms"), "call_id", "prev_e").limit(n)
 
 
-def assemble_segments(utterances: DataFrame, segments: DataFrame, min_ms: int = 1500) -> DataFrame:
+def assemble_segments(utterances: DataFrame, segments: DataFrame, labels: DataFrame | None = None, min_ms: int = 1500) -> DataFrame:
     """segments with those of the utterances' calls replaced by the utterances with text.
 
     Numbered by start, not yet assigned to a side; the embedding stays only where it is long enough.
+    ``labels`` (id, speaker) gives utterances (with an id) their speaker within the call, -1 where it
+    has none. Ids are hashes of call and number, negative, so that they are none of those given so
+    far. Other calls' segments keep all their columns; a call whose utterances have no text has none.
     """
     rows = utterances.withColumn("text_zh", strip_tags(F.col("text"))).where("text_zh <> ''")
-    w = Window.partitionBy("call_id").orderBy("start_ms", "end_ms")
-    long_enough = F.col("end_ms") - F.col("start_ms") >= min_ms
-    new = rows.select("call_id", (F.row_number().over(w) - 1).cast("int").alias("idx"), F.lit("unknown").alias("who"), "start_ms", "end_ms", "text_zh", F.when(long_enough, F.col("embedding")).alias("embedding"))
-    old = segments.join(utterances.select("call_id").distinct(), "call_id", "left_anti").select(new.columns)
-    return old.unionByName(new)
+    speaker = F.lit(None).cast("string")
+    if labels is not None:
+        rows = rows.join(labels.select(F.col("id").alias("_lid"), F.col("speaker").alias("_speaker")), F.col("id") == F.col("_lid"), "left")
+        speaker = F.coalesce("_speaker", F.lit(-1)).cast("string")
+    w = Window.partitionBy("call_id").orderBy("start_ms", "end_ms", "text_zh")
+    voiced = F.when(F.col("end_ms") - F.col("start_ms") >= min_ms, F.col("embedding"))
+    new = rows.select("call_id", (F.row_number().over(w) - 1).cast("int").alias("idx"), speaker.alias("spk_local"), F.lit("unknown").alias("who"), "start_ms", "end_ms", "text_zh", voiced.alias("embedding"))
+    new = new.withColumn("id", F.xxhash64("call_id", "idx").bitwiseOR(F.lit(-(2**63))))
+    new = new.drop(*[c for c in ("id", "spk_local") if c not in segments.columns])
+    old = segments.join(utterances.select("call_id").distinct(), "call_id", "left_anti")
+    return old.unionByName(new, allowMissingColumns=True).select(segments.columns)

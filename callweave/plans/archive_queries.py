@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from callweave import fixtures as fx
 from callweave.functions import text as tx
+from callweave.functions.components import scratch
 from callweave.operators import dedup, graph, transcripts
 from callweave.registry import query
 
@@ -201,9 +202,12 @@ def a3_split_chunks(spark, d):
     return transcripts.split_chunks(fx.segments(spark, d))
 
 
-@query()
+@query(f"""{W.replace('WITH', 'WITH RECURSIVE', 1)}, {CHUNKS}, s AS (SELECT seg_id, count(*) AS n, row_number() OVER (ORDER BY call_id, seg_id) AS no FROM ch GROUP BY call_id, seg_id),
+walk(no, seg_id, n, held, batch) AS (SELECT no, seg_id, n, n, CAST(0 AS BIGINT) FROM s WHERE no = 1 UNION ALL
+SELECT s.no, s.seg_id, s.n, CASE WHEN held + s.n > 4 THEN s.n ELSE held + s.n END, CASE WHEN held + s.n > 4 THEN batch + 1 ELSE batch END FROM walk JOIN s ON s.no = walk.no + 1)
+SELECT seg_id, n AS n_chunks, batch FROM walk""")
 def a4_pack_batches(spark, d):
-    return transcripts.pack_batches(transcripts.split_chunks(fx.segments(spark, d)))
+    return transcripts.pack_batches(transcripts.split_chunks(fx.segments(spark, d)), piece=500)
 
 
 def _results(spark, d):
@@ -232,11 +236,44 @@ def a6_latest_complete(spark, d):
     return transcripts.latest_complete(_results(spark, d), fx.segments(spark, d)).select("call_id", "seg_id", "text")
 
 
-@query(f"""{W}, {COMPLETE}, h AS (SELECT *, call_id IN (FROM ok) AS hit FROM segments) SELECT id, CASE WHEN hit THEN text_zh END AS text_sv, CASE WHEN hit THEN 'R:' || text_zh || CASE WHEN id % 7 = 0 THEN '!' ELSE '' END ELSE text_zh END AS text_zh,
-start_ms, CASE WHEN hit THEN start_ms + 300 ELSE end_ms END AS end_ms, CASE WHEN hit THEN 'qwen3-asr' END AS align_source FROM h""")
+@query(f"""{W}, {COMPLETE}, h AS (SELECT *, call_id IN (FROM ok) AS hit, id % 3 = 0 AS before FROM segments) SELECT id, CASE WHEN before THEN 'first' WHEN hit AND id % 11 > 0 THEN text_zh END AS text_sv,
+CASE WHEN hit AND id % 11 > 0 THEN 'R:' || text_zh || CASE WHEN id % 7 = 0 THEN '!' ELSE '' END ELSE text_zh END AS text_zh, start_ms, CASE WHEN hit AND id % 5 > 0 THEN start_ms + 300 ELSE end_ms END AS end_ms,
+CASE WHEN hit AND id % 5 > 0 THEN 'qwen3-aligner' WHEN before THEN 'vad' END AS align_source, CASE WHEN hit AND id % 5 > 0 THEN 0.9::DOUBLE WHEN before THEN 0.5::DOUBLE END AS ts_confidence FROM h""")
 def a7_fold_refined(spark, d):
+    """Some segments were refined before; some results have no text, some no words."""
+    s, old = fx.segments(spark, d), F.col("id") % 3 == 0
+    s = s.withColumns({"text_sv": F.when(old, "first"), "align_source": F.when(old, "vad"), "ts_confidence": F.when(old, 0.5)})
+    r = transcripts.latest_complete(_results(spark, d), s)
+    r = r.withColumns({"text": F.when(F.col("seg_id") % 11 > 0, F.col("text")).otherwise(""), "words": F.when(F.col("seg_id") % 5 > 0, F.col("words"))})
+    return transcripts.fold_refined(s, r).select("id", "text_sv", "text_zh", "start_ms", "end_ms", "align_source", "ts_confidence")
+
+
+OUTS = """o AS (SELECT call_id, string_agg('R:' || text_zh, ' ' ORDER BY id) FILTER (text_zh <> '') AS first, string_agg('S:' || text_zh, ' ' ORDER BY id) FILTER (text_zh <> '') AS second, count(*) AS n FROM segments GROUP BY 1)"""
+
+
+@query(f"""{W}, {OUTS} SELECT call_id, 'qwen3-asr' AS engine, CASE WHEN call_id % 3 = 0 THEN 2 ELSE 1 END AS attempt, 'en' AS lang, CASE WHEN call_id % 3 = 0 THEN second ELSE first END AS text, CAST(n AS INTEGER) AS n_words FROM o
+UNION ALL SELECT call_id, 'other', 1, 'de', 'kept', 0 FROM o WHERE call_id % 2 = 0""")
+def a7_merge_outputs(spark, d):
+    """Three batches of outputs into one table: all calls, a second attempt of some, and both again."""
+    s = fx.segments(spark, d)
+    word = F.array(F.struct(F.lit("w").alias("w"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))
+    made = lambda n, mark: s.select("call_id", F.col("id").alias("seg_id"), F.lit(n).cast("long").alias("attempt"), F.lit("en").alias("lang"), F.concat(F.lit(mark), "text_zh").alias("text"), word.alias("words"))
+    first, second = transcripts.outputs_of(made(1, "R:")), transcripts.outputs_of(made(2, "S:").where("call_id % 3 = 0"))
+    no_words = F.array().cast("array<struct<w:string,s:bigint,e:bigint>>")
+    other = s.where("call_id % 2 = 0").select("call_id", F.lit("other").alias("engine"), F.lit(1).cast("long").alias("attempt"), F.lit("de").alias("lang"), F.lit("kept").alias("text"), no_words.alias("words")).distinct()
+    folder = scratch(spark, "outputs")
+    for batch in (first.unionByName(other), second, second, first):
+        out = transcripts.merge_outputs(folder, batch, 16)
+    return out.select("call_id", "engine", F.col("attempt").cast("int").alias("attempt"), "lang", "text", F.size("words").alias("n_words"))
+
+
+@query(f"""{W}, {COMPLETE}, f AS (SELECT call_id, string_agg('R:' || text_zh || CASE WHEN id % 7 = 0 THEN '!' ELSE '' END, ' ' ORDER BY idx, id) AS t FROM segments WHERE call_id IN (FROM ok) GROUP BY 1)
+SELECT DISTINCT call_id AS id, coalesce(t, 'old') AS fulltext_zh FROM segments LEFT JOIN f USING (call_id)""")
+def a7_rebuild_fulltext(spark, d):
     s = fx.segments(spark, d)
-    return transcripts.fold_refined(s, transcripts.latest_complete(_results(spark, d), s)).select("id", "text_sv", "text_zh", "start_ms", "end_ms", "align_source")
+    r = transcripts.latest_complete(_results(spark, d), s)
+    calls = s.select(F.col("call_id").alias("id"), F.lit("old").alias("fulltext_zh")).distinct()
+    return transcripts.rebuild_fulltext(calls, transcripts.fold_refined(s, r), r).select("id", "fulltext_zh")
 
 
 @query(f"{W}, {CHUNKS}, n AS (SELECT seg_id, count(*) AS n FROM ch GROUP BY 1) SELECT count(*) AS segments, count(*) FILTER (n > 1) AS split_segments, CAST(sum(n - 1) AS BIGINT) AS seams, (SELECT max(end_ms - start_ms) FROM segments) AS longest_ms FROM n")
@@ -277,15 +314,14 @@ def a12_seam_suspects(spark, d):
     return transcripts.seam_suspects(transcripts.seam_hits(transcripts.word_gaps(_words(spark, d)), transcripts.seams(fx.segments(spark, d), 1500)))
 
 
-@query(f"""{W}, n AS (SELECT call_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY start_ms, end_ms) - 1 AS INT) AS idx, 'unknown' AS who, start_ms, end_ms, text_zh, end_ms - start_ms >= 1500 AS voiced FROM segments WHERE call_id % 2 = 0 AND length(text_zh) > 0)
-SELECT * FROM n UNION ALL SELECT call_id, idx, who, start_ms, end_ms, text_zh, false FROM segments WHERE call_id % 2 = 1""")
+@query(f"""{W}, n AS (SELECT call_id, CAST(row_number() OVER (PARTITION BY call_id ORDER BY start_ms, end_ms) - 1 AS INT) AS idx, 'unknown' AS who, CAST(NULL AS BIGINT) AS contact_id, CAST(id % 2 AS VARCHAR) AS spk_local, start_ms, end_ms, trim(regexp_replace(text_zh, '\\s+', ' ', 'g')) AS text_zh, end_ms - start_ms >= 1500 AS voiced FROM segments WHERE call_id % 2 = 0 AND length(trim(text_zh)) > 0)
+SELECT * FROM n UNION ALL SELECT call_id, idx, who, contact_id, 'kept', start_ms, end_ms, text_zh, false FROM segments WHERE call_id % 2 = 1""")
 def a13_assemble_segments(spark, d):
-    s = fx.segments(spark, d).withColumn("embedding", F.lit(None).cast("array<double>"))
-    u = s.where("call_id % 2 = 0").select("call_id", "start_ms", "end_ms", F.concat(F.lit("<|en|> "), "text_zh").alias("text"), F.array(F.lit(1.0)).alias("embedding"))
-    out = transcripts.assemble_segments(u, s)
-    # squeezing white space is checked in the tests; here texts are compared by the segments' own
-    text = s.select(F.col("call_id").alias("c"), F.col("start_ms").alias("m"), F.col("text_zh").alias("own"))
-    return out.join(text, (F.col("call_id") == F.col("c")) & (F.col("start_ms") == F.col("m"))).select("call_id", "idx", "who", "start_ms", "end_ms", F.col("own").alias("text_zh"), F.col("embedding").isNotNull().alias("voiced"))
+    """Calls of even numbers anew, with labels of their speakers; the others keep their columns."""
+    s = fx.segments(spark, d).withColumns({"embedding": F.lit(None).cast("array<double>"), "spk_local": F.lit("kept")})
+    u = s.where("call_id % 2 = 0").select("id", "call_id", "start_ms", "end_ms", F.concat(F.lit("<|en|> "), "text_zh").alias("text"), F.array(F.lit(1.0)).alias("embedding"))
+    out = transcripts.assemble_segments(u, s, u.select("id", (F.col("id") % 2).cast("int").alias("speaker")))
+    return out.select("call_id", "idx", "who", "contact_id", "spk_local", "start_ms", "end_ms", "text_zh", F.col("embedding").isNotNull().alias("voiced"))
 
 
 # -- graph ----------------------------------------------------------------------------------------

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callweave.functions.components import cut
 from callweave.functions.text import parse_filename
 from callweave.operators.stats import done, live
 
-#: Bytes at either end of a file that its fingerprint is taken of.
+#: Suffixes of recordings, and bytes at either end of a file that its fingerprint is taken of.
 SLICE = 65536
 EXTENSIONS = [".m4a", ".mp3", ".wav", ".amr", ".ogg", ".opus", ".flac", ".aac", ".mp4", ".3gp"]
 FILE_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
@@ -87,6 +92,70 @@ def sampled_fingerprint(files: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.select("path", F.sha2(F.concat(F.col("length").cast("string").cast("binary"), F.substring(F.col("content"), 1, SLICE), tail), 256).alias("probe_key"))
 
 
+def read_slices(uri: str, length: int) -> bytes | None:
+    """What a file's fingerprint is taken of: its size, its head and (beyond two slices) its tail; null if it can't be read.
+
+    Only those bytes are read, from any store that has a scheme, or from a path that all machines see.
+    """
+    from pyarrow import fs
+
+    try:
+        store, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+        with store.open_input_file(path) as f:
+            head = f.read(SLICE)
+            tail = b""
+            if length > 2 * SLICE:
+                f.seek(length - SLICE)
+                tail = f.read(SLICE)
+        return str(length).encode() + head + tail
+    except OSError:
+        return None
+
+
+def probe_files(listing: DataFrame, at_once: int = 64) -> DataFrame:
+    """(path, length, modificationTime, probe_key) of listed files, by byte ranges, in parallel; null keys of unreadable ones."""
+    sha = hashlib.sha256
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, at_once):
+                rows = batch.slice(i, at_once)
+                found = [None if p is None or n is None else read_slices(p, n) for p, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([None if b is None else sha(b).hexdigest() for b in found], pa.string())], ["path", "length", "modificationTime", "probe_key"])
+
+    rows = listing.select("path", "length", "modificationTime")
+    return rows.mapInArrow(run, "path string, length long, modificationTime timestamp, probe_key string")
+
+
+def ensure_probes(listing: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """Fingerprints of all listed files, from a table of those computed so far, and how many files were read now.
+
+    A key holds for a path, size and time, so that a file that is recorded again is read again. Files
+    that can't be read have no key and are tried again the next time. New keys are appended; of
+    repeated ones, as after a batch that broke off, any counts, as they are equal.
+    """
+    spark = listing.sparkSession
+    schema = "path string, length long, modificationTime timestamp, probe_key string"
+    try:
+        known = spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = spark.createDataFrame([], schema)
+    asked = listing.where("path is not null").select("path", "length", "modificationTime").distinct()
+    keys = ["path", "length", "modificationTime"]
+    a, b = asked.alias("a"), known.select(*keys).alias("b")
+    same = (F.col("a.path") == F.col("b.path")) & F.col("a.length").eqNullSafe(F.col("b.length")) & F.col("a.modificationTime").eqNullSafe(F.col("b.modificationTime"))
+    missing = cut(a.join(b, same, "left_anti"))
+    n = missing.count()
+    if n:
+        cores = spark.sparkContext.defaultParallelism
+        cut(probe_files(missing.repartition(max(cores, -(-n // 1000)))).where("probe_key is not null")).write.mode("append").parquet(folder)
+    every = spark.read.schema(schema).parquet(folder) if n or known.columns and not known.isEmpty() else known
+    keyed = every.groupBy(*keys).agg(F.min("probe_key").alias("probe_key")).alias("b")
+    return a.join(keyed, same).select("a.path", "a.length", "a.modificationTime", "b.probe_key"), n
+
+
 def refine_jobs(calls: DataFrame, segments: DataFrame, outputs: DataFrame, engine: str = "qwen3-asr") -> DataFrame:
     """(call_id, seg_id, wav, start_ms, end_ms, context): a row for each segment of calls without the engine's output."""
     have = outputs.where(F.col("engine") == engine).select(F.col("call_id").alias("id"))
