@@ -296,6 +296,7 @@ def apply_merges(contacts: DataFrame, merges: DataFrame, rows: dict[str, DataFra
     kept = kept.withColumn("_real", real)
     rest = F.filter("_alias", lambda a: ~a.eqNullSafe(F.col("_real")))
     note = F.array_join(F.concat("_plain", F.when(F.size(rest) > 0, F.array(F.concat(tag, F.array_join(rest, " / ")))).otherwise(F.array().cast("array<string>"))), " | ")
+    note = F.when(F.col("more").isNull() & F.col("_real").isNull(), F.col("note")).otherwise(note)
     out = kept.withColumns({"note": note, "name": F.coalesce("_real", "name")}).select(contacts.columns)
     moved = {}
     for k, df in rows.items():

@@ -22,14 +22,15 @@ def _files(spark, d) -> str:
     return root
 
 
-FOLDER = F.regexp_extract("path", "source=([^/]+)/", 1)
+def _folder():
+    return F.regexp_extract("path", "source=([^/]+)/", 1).alias("folder")
 
 
 @query("SELECT source AS folder, CAST(1 AS BIGINT) AS files FROM documents WHERE source <> 'src2' AND text IS NOT NULL GROUP BY 1")
 def s1_list_files(spark, d):
     """The files made of documents, but for one folder that is left out."""
     found = recordings.list_recordings(spark, _files(spark, d), [".txt"], ["SOURCE=SRC2"])
-    return found.groupBy(FOLDER.alias("folder")).agg(F.count("*").alias("files"))
+    return found.groupBy(_folder()).agg(F.count("*").alias("files"))
 
 
 @query("""WITH t AS (SELECT source, encode(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS b FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1), n AS (SELECT *, octet_length(b) AS n FROM t)
@@ -40,7 +41,7 @@ def s5_probe_table(spark, d):
     folder = scratch(spark, "probes")
     _, first = recordings.ensure_probes(listing, folder)
     keys, again = recordings.ensure_probes(listing, folder)
-    return keys.select(FOLDER.alias("folder"), "probe_key", F.lit(first).cast("long").alias("read_first"), F.lit(again).cast("long").alias("read_again"))
+    return keys.select(_folder(), "probe_key", F.lit(first).cast("long").alias("read_first"), F.lit(again).cast("long").alias("read_again"))
 
 
 def _result_lines(spark, d) -> str:
