@@ -20,7 +20,8 @@ FEW_CONTACTS = 100_000
 FEW_BYTES = 64 << 20
 #: Name of a contact made of a voice, before the id of its first segment, and its note.
 NEW_VOICE, NEW_VOICE_NOTE = "未知声纹", "由声纹聚类自动创建"
-ALIAS = "同一人还有："
+#: Fixed value: how a note begins that names a contact's other numbers and names.
+ALIAS = "同一个人其他号码/称呼: "
 
 
 def speaker_centroids(segments: DataFrame) -> DataFrame:

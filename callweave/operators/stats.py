@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.functions.components import cut
+
 DONE = ("transcribed", "analyzed")
 #: Upper ends of the duration bins in seconds, and their names.
 BINS = [(10, "<10s"), (30, "10-30s"), (60, "30s-1m"), (120, "1-2m"), (300, "2-5m"), (600, "5-10m"), (1800, "10-30m"), (3600, "30-60m"), (1e9, ">1h")]
@@ -144,10 +146,12 @@ def search_calls(calls, segments, contacts, q="", contact="", who="", date_from=
         rows = rows.where(F.col("call_id").isNotNull()) if who else rows
         no = lambda c: F.coalesce(F.col(c), F.lit(False))
         rows = rows.where((call_q & call_c) | (call_q & no("any_c")) | (no("any_q") & call_c) | no("both"))
-    names = named.where("who = 'other' and name is not null").groupBy("call_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
     total = rows.agg(F.count_distinct("id").alias("total"))
     chosen = rows.orderBy(F.col("call_time").desc_nulls_last(), F.desc("id")).offset((page - 1) * size).limit(size)
-    picked = chosen.select("id", "filename", "contact_hint", "phone", "call_time", "duration_sec", "status")
+    picked = cut(chosen.select("id", "filename", "contact_hint", "phone", "call_time", "duration_sec", "status"))
+    # names of the page's calls only
+    own = named.join(F.broadcast(picked.select(F.col("id").alias("call_id"))), "call_id", "left_semi")
+    names = own.where("who = 'other' and name is not null").groupBy("call_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
     return picked.join(names, picked["id"] == names["call_id"], "left").drop("call_id").select("*", F.array_join("names", ",").alias("contact")).drop("names").join(F.broadcast(total))
 
 

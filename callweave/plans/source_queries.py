@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave import fixtures as fx
 from callweave.functions.components import cut, scratch
+from callweave.operators import search_index
 from callweave.plans import chain
 from callweave.plans.voice_queries import W, _prints, _voices
 from callweave.registry import query
@@ -103,3 +107,17 @@ def x2_run_chain(spark, d):
     out = chain.run_chain(t, listing)
     names = out["contacts"].select(F.col("id").alias("contact_id"), "name")
     return out["segments"].join(names, "contact_id", "left").select("id", "call_id", "who", F.col("name").alias("contact"), F.round("contact_conf", 6).alias("conf"))
+
+
+TERMS = ["ing", "THE ", "th%nd", "user1", "c_n", "e", "nowhere at all", "REC_1"]
+
+
+@query(f"""{W}, q(term) AS (VALUES {', '.join(f"('{t}')" for t in TERMS)}) SELECT term, c.id FROM calls c, q WHERE dup_of IS NULL AND (filename ILIKE '%' || term || '%' OR summary ILIKE '%' || term || '%'
+OR EXISTS (SELECT 1 FROM segments s WHERE s.call_id = c.id AND text_zh ILIKE '%' || term || '%'))""")
+def q9_search_index(spark, d):
+    """All calls that some terms find, through an index that two batches have made and one of them again."""
+    calls, seg, folder = fx.calls(spark, d), fx.segments(spark, d), scratch(spark, "index")
+    for batch in (0, 1, 1):
+        search_index.add_to_index(folder, batch, calls.where(F.col("id") % 2 == batch), seg)
+    found = [search_index.search_indexed(folder, calls, seg, fx.contacts(spark, d), t, size=1_000_000).select(F.lit(t).alias("term"), "id") for t in TERMS]
+    return reduce(DataFrame.union, found)

@@ -194,15 +194,25 @@ def _twins(spark, d):
     return c.unionByName(more).withColumn("note", F.lit(None).cast("string")), p.unionByName(again)
 
 
-@query()
+TWINS = f"""{W}, {PLANTED}, {VP}, {CC}, p AS (SELECT id, name, phone, kind, parent_id, n_calls FROM contacts UNION ALL SELECT id + 100, 'alias_' || id, NULL, NULL, parent_id, n_calls FROM contacts WHERE id < 4),
+tv AS (SELECT contact_id AS id, m FROM cc UNION ALL SELECT contact_id + 100, m FROM cc WHERE contact_id < 4), pv2 AS (SELECT p.*, m FROM p JOIN tv USING (id) WHERE coalesce(kind, 'person') <> 'seat'),
+mg AS (SELECT b.id AS drop_id, first(a.id ORDER BY a.n_calls DESC, a.id) AS keep_id FROM pv2 a JOIN pv2 b ON {_cos('a.m', 'b.m')} >= 0.8 GROUP BY 1)"""
+
+
+@query(f"{TWINS} SELECT * FROM mg WHERE drop_id <> keep_id")
 def v17_merge_same_voice(spark, d):
     return identity.merge_same_voice(*_twins(spark, d))
 
 
-@query()
+@query(f"""{TWINS}, x AS (SELECT * FROM mg WHERE drop_id <> keep_id), al AS (SELECT keep_id, string_agg(DISTINCT name, ' / ' ORDER BY name) AS names FROM x JOIN p ON p.id = drop_id GROUP BY 1),
+n AS (SELECT coalesce(keep_id, tv.id) AS id, count(*) * 3 AS prints FROM tv LEFT JOIN x ON drop_id = tv.id GROUP BY 1)
+SELECT p.id, name, phone, kind, CASE WHEN names IS NOT NULL THEN '{identity.ALIAS}' || names END AS note, coalesce(prints, 0) AS prints FROM p LEFT JOIN al ON keep_id = p.id LEFT JOIN n ON n.id = p.id WHERE p.id NOT IN (SELECT drop_id FROM x)""")
 def v18_apply_merges(spark, d):
+    """Contacts after merging, with how many voiceprints point at each."""
     c, p = _twins(spark, d)
-    return identity.apply_merges(c, identity.merge_same_voice(c, p), {"voiceprints": p})[0]
+    out, moved = identity.apply_merges(c, identity.merge_same_voice(c, p), {"voiceprints": p})
+    n = moved["voiceprints"].groupBy("contact_id").agg(F.count("*").alias("prints"))
+    return out.join(n, out["id"] == n["contact_id"], "left").select("id", "name", "phone", "kind", "note", F.coalesce("prints", F.lit(0)).alias("prints"))
 
 
 # -- shared lines ---------------------------------------------------------------------------------
@@ -239,27 +249,36 @@ def l1_other_centroids(spark, d):
     return lines.other_centroids(_line_voices(spark, d)).select("call_id", "n", F.round(dot(F.col("mean"), ramp), 4).cast("decimal(9,3)").alias("cos_ramp"))
 
 
-@query()
+#: The clusters that are planted: each line's calls by voice, numbered by the voice of its first call.
+LINES = f"""{W}, pl AS (SELECT call_id, i, avg(CAST(embedding[i + 1] AS DOUBLE) + CASE WHEN i % 2 = floor(call_id / 4) % 2 THEN 0.5 ELSE 0 END) AS x FROM voices, range(64) r(i) WHERE id % 5 < 3 GROUP BY ALL),
+pu AS (SELECT call_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY call_id)) AS x, call_id % 4 AS line, floor(call_id / 4) % 2 AS voice FROM pl),
+pk AS (SELECT call_id, line, CASE WHEN voice = first_value(voice) OVER (PARTITION BY line ORDER BY call_id) THEN 0 ELSE 1 END AS cluster, count(*) OVER (PARTITION BY line) AS calls FROM (SELECT DISTINCT call_id, line, voice FROM pu)),
+ps AS (SELECT line, cluster, i, sum(x) AS x, count(*) AS n FROM pu JOIN pk USING (call_id, line) WHERE calls > 1 GROUP BY ALL), lc AS (SELECT line, cluster, max(n) AS n, sqrt(sum(x * x)) AS len FROM ps GROUP BY ALL),
+sp AS (SELECT a.line, sum(a.x * b.x) / max(la.len) / max(lb.len) AS separation FROM ps a JOIN ps b ON a.line = b.line AND a.i = b.i AND a.cluster = 0 AND b.cluster = 1 JOIN lc la ON la.line = a.line AND la.cluster = 0 JOIN lc lb ON lb.line = a.line AND lb.cluster = 1 GROUP BY 1)"""
+
+
+@query(f"{LINES} SELECT 'line ' || CAST(line AS INT) AS contact_hint, CASE WHEN line < 2 THEN 'shared_line' ELSE 'person' END AS line_kind, CAST(cluster AS INT) AS cluster, CAST(n AS INT) AS n_calls, round(len / n, 6) AS intra FROM lc")
 def l2_cluster_line(spark, d):
     return _clusters(spark, d).select("contact_hint", "line_kind", "cluster", "n_calls", F.round("intra", 6).alias("intra"))
 
 
-@query()
+@query(f"{LINES} SELECT 'line ' || CAST(line AS INT) AS contact_hint, call_id, CAST(cluster AS INT) AS cluster FROM pk WHERE calls > 1")
 def l2_line_voices(spark, d):
     return _members(spark, d).drop("v")
 
 
-@query()
+@query(f"{LINES} SELECT 'line ' || CAST(line AS INT) AS contact_hint, round(separation, 4) AS separation FROM sp")
 def l3_cluster_separation(spark, d):
     return lines.cluster_separation(_clusters(spark, d)).select("contact_hint", F.round("separation", 4).alias("separation"))
 
 
-@query()
+@query(f"""{LINES}, big AS (SELECT * FROM lc WHERE n >= CASE WHEN line < 2 THEN 2 ELSE 3 END), two AS (SELECT line FROM big GROUP BY 1 HAVING count(*) = 2)
+SELECT 'line ' || CAST(line AS INT) AS contact_hint, CAST(cluster AS INT) AS cluster, CAST(n AS INT) AS n_calls FROM big JOIN two USING (line) JOIN sp USING (line) WHERE separation < CASE WHEN line < 2 THEN 0.45 ELSE 0.35 END""")
 def l4_split_decision(spark, d):
     return lines.split_decision(_clusters(spark, d)).select("contact_hint", "cluster", "n_calls")
 
 
-@query()
+@query(f"{LINES} SELECT 'line ' || CAST(line AS INT) AS contact_hint, CAST(cluster AS INT) AS cluster, round(len / n, 6) AS intra FROM lc")
 def l5_cluster_cohesion(spark, d):
     return lines.cluster_cohesion(_clusters(spark, d))
 
@@ -346,7 +365,9 @@ def c1_clip_candidates(spark, d):
     return _cands(spark, d)
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, octet_length(encode(text)) // 2 AS n, hex(encode(text)) AS h FROM documents),
+s AS (SELECT doc_id, n, unnest(range(n)) AS i, h FROM t WHERE n > 0), v AS (SELECT doc_id, n, CAST('0x' || h[4 * i + 3:4 * i + 4] || h[4 * i + 1:4 * i + 2] AS INTEGER) AS x FROM s),
+e AS (SELECT doc_id, sum(power((CASE WHEN x >= 32768 THEN x - 65536 ELSE x END) / 32768.0::DOUBLE, 2)) / max(n) + 1e-9 AS energy FROM v GROUP BY 1) SELECT doc_id, round(energy, 9) AS energy FROM documents LEFT JOIN e USING (doc_id)""")
 def c2_clip_energy(spark, d):
     t = spark.read.parquet(f"{d}/documents.parquet")
     return t.select("doc_id", F.round(clips.clip_energy(F.col("text").cast("binary")), 9).alias("energy"))
@@ -366,9 +387,11 @@ def c4_select_clips(spark, d):
     return clips.select_clips(_cands(spark, d))
 
 
-@query(f"{W}, {CANDS}, {SELECTED} SELECT speaker, count(*) AS n, CAST(round(sum(CAST(seconds AS DECIMAL(18,3))), 1) AS DOUBLE) AS total_sec FROM sc GROUP BY 1")
+@query(f"""{W}, {CANDS}, {SELECTED} SELECT speaker, count(*) AS n, string_agg(clip || ' ' || wav_path || ' ' || start_ms || '-' || end_ms, ';' ORDER BY clip) AS clips, CAST(round(sum(CAST(seconds AS DECIMAL(18,3))), 1) AS DOUBLE) AS total_sec FROM sc GROUP BY 1""")
 def s8_voice_manifest(spark, d):
-    return clips.voice_manifest(clips.select_clips(_cands(spark, d))).select("speaker", F.size("clips").cast("long").alias("n"), "total_sec")
+    m = clips.voice_manifest(clips.select_clips(_cands(spark, d)))
+    told = F.transform("clips", lambda c: F.concat(c["clip"], F.lit(" "), c["wav_path"], F.lit(" "), c["start_ms"].cast("string"), F.lit("-"), c["end_ms"].cast("string")))
+    return m.select("speaker", F.size("clips").cast("long").alias("n"), F.array_join(told, ";").alias("clips"), "total_sec")
 
 
 # -- sources --------------------------------------------------------------------------------------
@@ -384,8 +407,11 @@ def s2_incremental_scan(spark, d):
     return recordings.incremental_scan(old.unionByName(new).withColumn("modificationTime", F.lit(None).cast("timestamp")), c).select("path", "action", "status", "size_bytes")
 
 
-@query()
+@query(f"""{W}, n AS (SELECT id, contact_hint, phone, [CAST(id AS VARCHAR), regexp_extract(filename, 'user(\\d+)', 1)] AS digits FROM calls), h AS (SELECT *, list_filter(digits, lambda x: regexp_matches(x, '^(95\\d{{2,4}}|1[0123]\\d{{3,4}})$')) AS hot FROM n),
+p AS (SELECT id, contact_hint, phone, coalesce(CASE WHEN length(hot[2]) > length(hot[1]) THEN hot[2] ELSE hot[1] END, phone) AS got FROM h)
+SELECT id, 'user' AS contact_hint, got AS phone, contact_hint IS DISTINCT FROM 'user' OR got IS DISTINCT FROM phone AS hints_changed FROM p""")
 def s3_refresh_hints(spark, d):
+    """The names are REC_<number>_user<number>.wav: a hotline's digits are a number, the name is always user."""
     return recordings.refresh_hints(fx.calls(spark, d).withColumn("call_time", F.col("call_time").cast("timestamp"))).select("id", "contact_hint", "phone", "hints_changed")
 
 

@@ -16,8 +16,9 @@ def test_query_equals_its_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
+    """Their answers are compared with plain loops in the tests of their operators; here they have some."""
     df = QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > 0
 
 
 def test_entry(spark):
