@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callweave.functions.components import with_group
 from callweave.llm.common import components, cut, slices, spread
 
 RADIUS = 4
@@ -166,11 +167,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 4, seed:
 
     A text without a word (null, empty, blank) has fingerprint 0 and is linked like any other.
     Equal fingerprints are one point of the search, so copies cost nothing in it. A row whose key
-    is null keeps its fingerprint; it isn't the smallest key of any component unless it has only
+    is null links others like any row; it isn't the smallest key of a component unless that has only
     such rows, whose component is null. Repeated rows are returned each; other columns are ignored.
     """
     fps = cut(fingerprints(docs, words, seed, key, text))
-    distinct = cut(fps.groupBy("fp").agg(F.min("key").alias("rep")))
-    found = components(near_links(distinct.where("rep is not null"), radius, shard))
-    by_fp = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    distinct = cut(fps.groupBy("fp").agg(F.min("key").alias("smallest")))
+    found = components(near_links(distinct.select("fp", F.col("fp").alias("rep")), radius, shard))
+    grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "smallest", F.coalesce("component", "fp").alias("group"))
+    by_fp = with_group(grouped, ["group"], F.col("fp"), component=F.min("smallest")).select("fp", "component")
     return fps.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component")

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -101,6 +102,22 @@ def test_empty_and_null_keys(spark):
     assert r[0].component is None
 
 
+def test_rows_without_a_key_link_others(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(80):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    f = [slow_fingerprint(t) for t in texts]
+    far = lambda i, j: bin(f[i] ^ f[j]).count("1")
+    i, j, k = next((i, j, k) for j in range(80) for i in range(80) for k in range(80) if far(i, j) <= 4 and far(j, k) <= 4 and far(i, k) > 4)
+    got = near_duplicates(spark.createDataFrame([(1, texts[i]), (None, texts[j]), (2, texts[k])], "doc_id long, text string")).collect()
+    assert {r.component for r in got} == {1}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
