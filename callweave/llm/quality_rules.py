@@ -175,13 +175,13 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality") -> Classifier:
     """The classifier of a bounded sample of labelled rows, fitted in one task.
 
-    Labels other than 0 and 1, and labels without a text, are left out; of repeated keys one row
-    counts. The sample is the ``sample`` labels with the smallest hashes of their keys.
+    Labels other than 0 and 1, and labels without a text, are left out; of repeated keys the largest
+    label and the text of the smallest hash count. The sample is the ``sample`` labels with the smallest hashes of their keys.
     """
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("key"), "key").limit(sample)
     texts = docs.select(docs[key].alias("key"), docs[text].alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "key").select("key", "label", "text")
+    rows = texts.join(F.broadcast(chosen), "key").groupBy("key").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

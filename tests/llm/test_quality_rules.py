@@ -63,6 +63,14 @@ def test_odd_rows(spark):
     assert apply_rules(docs.limit(0), model).count() == 0
 
 
+def test_repeated_keys_give_one_model(spark):
+    rows, labels = corpus(90, 4)
+    again = [(i, t.upper(), k) for i, t, k in rows[:40]]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    made = [train(spark.createDataFrame(r, "doc_id long, text string, kept long").repartition(n), marks) for r, n in ((rows + again, 1), (again + rows, 5))]
+    assert made[0].bias == made[1].bias and (made[0].words == made[1].words).all() and (made[0].chars == made[1].chars).all()
+
+
 def test_platt_recovers_a_curve():
     rng = np.random.default_rng(1)
     x = rng.normal(size=20000) * 3
