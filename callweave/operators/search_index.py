@@ -64,7 +64,8 @@ def candidates(spark: SparkSession, folder: str, term: str, looked_up: int = LOO
     if not wanted:
         return None
     read = lambda kind, schema: spark.read.schema(f"{schema}, bucket int, batch long").option("basePath", f"{folder}/{kind}").parquet(f"{folder}/{kind}")
-    of = lambda df, some: df.where(F.col("bucket").isin(buckets_of(spark, some)) & F.col("gram").isin(some))
+    at = dict(spark.createDataFrame([(g,) for g in wanted], "gram string").select("gram", bucket(F.col("gram"))).collect())
+    of = lambda df, some: df.where(F.col("bucket").isin(sorted({at[g] for g in some})) & F.col("gram").isin(some))
     n = dict(of(read("grams", "gram string, n long"), wanted).groupBy("gram").agg(F.sum("n")).collect())
     if len(n) < len(wanted):
         return spark.createDataFrame([], "call_id long")
@@ -73,10 +74,6 @@ def candidates(spark: SparkSession, folder: str, term: str, looked_up: int = LOO
     return reduce(lambda a, b: a.join(b, "call_id", "left_semi"), lists)
 
 
-def buckets_of(spark: SparkSession, some: list[str]) -> list[int]:
-    return sorted({r[0] for r in spark.createDataFrame([(g,) for g in some], "gram string").select(bucket(F.col("gram"))).collect()})
-
-
 def search_indexed(folder: str, calls: DataFrame, segments: DataFrame, contacts: DataFrame, q: str, **filters) -> DataFrame:
     """search_calls with the candidates of the index only: the same page and total, as q has to be met by each call.
 

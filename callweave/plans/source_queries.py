@@ -109,11 +109,11 @@ def x2_run_chain(spark, d):
     return out["segments"].join(names, "contact_id", "left").select("id", "call_id", "who", F.col("name").alias("contact"), F.round("contact_conf", 6).alias("conf"))
 
 
-TERMS = ["ing", "THE ", "th%nd", "user1", "c_n", "e", "nowhere at all", "REC_1"]
+TERMS = ["THE ", "th%nd", "user1", "c_n"]
 
 
-@query(f"""{W}, q(term) AS (VALUES {', '.join(f"('{t}')" for t in TERMS)}) SELECT term, c.id FROM calls c, q WHERE dup_of IS NULL AND (filename ILIKE '%' || term || '%' OR summary ILIKE '%' || term || '%'
-OR EXISTS (SELECT 1 FROM segments s WHERE s.call_id = c.id AND text_zh ILIKE '%' || term || '%'))""")
+@query(f"""{W}, q(term) AS (VALUES {', '.join(f"('{t}')" for t in TERMS)}), s AS (SELECT DISTINCT term, call_id FROM segments, q WHERE text_zh ILIKE '%' || term || '%')
+SELECT q.term, c.id FROM calls c CROSS JOIN q LEFT JOIN s ON s.term = q.term AND s.call_id = c.id WHERE dup_of IS NULL AND (filename ILIKE '%' || q.term || '%' OR summary ILIKE '%' || q.term || '%' OR s.call_id IS NOT NULL)""")
 def q9_search_index(spark, d):
     """All calls that some terms find, through an index that two batches have made and one of them again."""
     calls, seg, folder = fx.calls(spark, d), fx.segments(spark, d), scratch(spark, "index")
