@@ -101,7 +101,7 @@ def contact_centroids(voiceprints: DataFrame) -> DataFrame:
     return means(voiceprints, ["contact_id"])
 
 
-def seed_contacts(calls: DataFrame, contacts: DataFrame, extra_names: list[str] | None = None) -> DataFrame:
+def seed_contacts(calls: DataFrame, contacts: DataFrame, extra_names: list[str] | None = None, mobile_ends: bool = True) -> DataFrame:
     """New contacts (name, phone, kind) of live calls: no second one for a known name or phone.
 
     Of several labels of one phone the first by name that isn't the phone itself counts.
@@ -112,7 +112,7 @@ def seed_contacts(calls: DataFrame, contacts: DataFrame, extra_names: list[str]
     one = pairs.withColumn("no", F.row_number().over(w)).where("no = 1").drop("no")
     by_name = one.withColumn("no", F.row_number().over(Window.partitionBy("name").orderBy(F.col("phone").asc_nulls_last()))).where("no = 1").drop("no")
     fresh = by_name.join(contacts.select("name"), "name", "left_anti").join(contacts.where("phone is not null").select("phone"), "phone", "left_anti")
-    return fresh.select("name", "phone", F.when(classify_line(F.col("name"), F.col("phone"), extra_names) == "shared_line", "org").alias("kind"))
+    return fresh.select("name", "phone", F.when(classify_line(F.col("name"), F.col("phone"), extra_names, mobile_ends) == "shared_line", "org").alias("kind"))
 
 
 def renamed_contacts(calls: DataFrame, contacts: DataFrame) -> DataFrame:

@@ -62,9 +62,9 @@ def scan_counts(scanned: DataFrame) -> DataFrame:
     return scanned.groupBy("action").agg(F.count("*").alias("n"))
 
 
-def refresh_hints(calls: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+def refresh_hints(calls: DataFrame, patterns: list[str] | None = None, local: bool = True) -> DataFrame:
     """calls with name, number and time parsed anew where that gives something, and hints_changed."""
-    got = parse_filename(F.col("filename"), None, patterns)
+    got = parse_filename(F.col("filename"), None, patterns, local)
     rows = calls.withColumn("_got", got)
     new = {"contact_hint": F.coalesce("_got.name", "contact_hint"), "phone": F.coalesce("_got.phone", "phone"), "call_time": F.coalesce("_got.call_time", "call_time")}
     changed = F.lit(False)
