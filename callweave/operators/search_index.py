@@ -25,9 +25,13 @@ OF_CALL, OF_SEGMENT = ["filename", "summary"], ["text_zh", "text_sv"]
 
 def grams(text: Column) -> Column:
     """The distinct runs of three characters of a lower-cased text; null and shorter texts have none."""
-    c = F.filter(F.split(F.lower(text), ""), lambda x: x != "")
-    runs = F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
-    return F.when(F.size(c) >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(c: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+        return F.when(F.size(c) >= 3, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    # bound to a variable, a text is split once and not for each of its runs
+    return F.get(F.transform(F.array(F.filter(F.split(F.lower(text), ""), lambda x: x != "")), runs), F.lit(0))
 
 
 def bucket(gram: Column) -> Column:

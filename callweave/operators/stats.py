@@ -117,11 +117,11 @@ def status_counts(calls: DataFrame, by_source: bool = False, live_only: bool = F
     return calls.groupBy(*(["source_id"] if by_source else []), status.alias("status")).agg(F.count("*").alias("n"))
 
 
-def search_calls(calls, segments, contacts, q="", contact="", who="", date_from="", date_to="", status="", source=0, dup="", page=1, size=25) -> DataFrame:
+def search_calls(calls, segments, contacts, q="", contact="", who="", date_from="", date_to="", status="", source=0, dup="", page=1, size: int | None = 25) -> DataFrame:
     """A page of matching calls, newest first, with the total and the names of the other side.
 
     As in SQL's LIKE, % and _ of the terms match anything. Segments are reduced to the ids of
-    calls before anything is joined to calls.
+    calls before anything is joined to calls. Without a size all matching calls come, in no order.
     """
     rows = live(calls) if dup == "" else calls.where("dup_of is not null") if dup == "only" else calls
     like = lambda c, x: F.coalesce(F.col(c).ilike(f"%{x}%"), F.lit(False))
@@ -147,10 +147,11 @@ def search_calls(calls, segments, contacts, q="", contact="", who="", date_from=
         no = lambda c: F.coalesce(F.col(c), F.lit(False))
         rows = rows.where((call_q & call_c) | (call_q & no("any_c")) | (no("any_q") & call_c) | no("both"))
     total = rows.agg(F.count_distinct("id").alias("total"))
-    chosen = rows.orderBy(F.col("call_time").desc_nulls_last(), F.desc("id")).offset((page - 1) * size).limit(size)
+    chosen = rows if size is None else rows.orderBy(F.col("call_time").desc_nulls_last(), F.desc("id")).offset((page - 1) * size).limit(size)
     picked = cut(chosen.select("id", "filename", "contact_hint", "phone", "call_time", "duration_sec", "status"))
     # names of the page's calls only
-    own = named.join(F.broadcast(picked.select(F.col("id").alias("call_id"))), "call_id", "left_semi")
+    ids = picked.select(F.col("id").alias("call_id"))
+    own = named.join(ids if size is None else F.broadcast(ids), "call_id", "left_semi")
     names = own.where("who = 'other' and name is not null").groupBy("call_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
     return picked.join(names, picked["id"] == names["call_id"], "left").drop("call_id").select("*", F.array_join("names", ",").alias("contact")).drop("names").join(F.broadcast(total))
 

@@ -119,5 +119,5 @@ def q9_search_index(spark, d):
     calls, seg, folder = fx.calls(spark, d), fx.segments(spark, d), scratch(spark, "index")
     for batch in (0, 1, 1):
         search_index.add_to_index(folder, batch, calls.where(F.col("id") % 2 == batch), seg)
-    found = [search_index.search_indexed(folder, calls, seg, fx.contacts(spark, d), t, size=1_000_000).select(F.lit(t).alias("term"), "id") for t in TERMS]
+    found = [search_index.search_indexed(folder, calls, seg, fx.contacts(spark, d), t, size=None).select(F.lit(t).alias("term"), "id") for t in TERMS]
     return reduce(DataFrame.union, found)

@@ -1,6 +1,8 @@
 import random
 
-from callweave.operators.search_index import add_to_index, candidates, grams_of_term, search_indexed
+from pyspark.sql import functions as F
+
+from callweave.operators.search_index import add_to_index, candidates, grams, grams_of_term, search_indexed
 from callweave.operators.stats import search_calls
 
 CALL = "id long, filename string, summary string, contact_hint string, phone string, call_time timestamp, duration_sec double, status string, source_id long, dup_of long"
@@ -24,6 +26,14 @@ def test_grams_of_terms(spark):
     assert grams_of_term(spark, r"ab\%cde") == ["cde"] and grams_of_term(spark, "") == [] and grams_of_term(spark, "你好吗") == ["你好吗"]
 
 
+def test_a_text_is_split_once(spark):
+    texts = ["".join(random.Random(n).choice("abÀ你😀 ") for _ in range(n)) for n in (0, 2, 3, 400)]
+    got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(grams(F.col("t")).alias("g"))
+    assert [r.g for r in got.collect()] == [list(dict.fromkeys(t.lower()[i : i + 3] for i in range(len(t) - 2))) for t in texts] + [[]]
+    # splitting it for each of its runs took time with the square of its length
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_indexed_search_equals_the_scan(spark, tmp_path):
     calls, segs, contacts = tables(spark)
     folder = str(tmp_path / "i")
@@ -35,6 +45,8 @@ def test_indexed_search_equals_the_scan(spark, tmp_path):
     for q, kw in (("abc", {}), ("ÀÉ你", {}), ("zzz", {}), ("b", {}), ("a_c", {}), ("nothing", {}), ("cab", {"who": "me"}), ("bca", {"contact": "ann"}), (".WAV", {"dup": "only"}), ("f%wav", {"size": 7, "page": 2})):
         kw = {"size": 1000} | kw
         assert ids(search_indexed(folder, calls, segs, contacts, q, **kw)) == ids(search_calls(calls, segs, contacts, q=q, **kw)), q
+    every = search_indexed(folder, calls, segs, contacts, "wav", size=None)
+    assert every.count() == every.first().total > 25
     assert {r.call_id for r in candidates(spark, folder, "zzzq").collect()} == {4} and candidates(spark, folder, "a%") is None
 
 
