@@ -17,8 +17,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    n = F.sqrt(dot(v, v)) + 1e-9
-    return F.transform(v, lambda x: x.cast("double") / n)
+    bound = lambda x, then: F.get(F.transform(F.array(x), then), F.lit(0))
+    # the vector and its length are bound to variables, as each element would take them anew
+    return bound(v, lambda w: bound(F.sqrt(dot(w, w)) + 1e-9, lambda n: F.transform(w, lambda x: x.cast("double") / n)))
 
 
 def sums(rows: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
@@ -36,13 +37,12 @@ def sums(rows: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame
                 np.add.at(total, code, m)
                 yield keys.assign(total=list(total), n=np.bincount(code))
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        row = dict(zip(by, key, strict=True)) | {"total": np.sum([np.asarray(v) for v in pdf["total"]], axis=0), "n": int(pdf["n"].sum())}
-        return pd.DataFrame([row])
-
     schema = f"{kinds}, total array<double>, n long"
     held = rows.where(F.col(vector).isNotNull()).select(*by, doubles(F.col(vector)).alias(vector))
-    return held.mapInPandas(part, schema).groupBy(*by).applyInPandas(merge, schema)
+    # a group has a row for each batch that held it; they are added in columns, as a call of Python for each of many small groups takes long
+    found = held.mapInPandas(part, schema).groupBy(*by).agg(F.collect_list("total").alias("_t"), F.sum("n").alias("n"))
+    every = F.aggregate(F.slice("_t", F.lit(2), F.size("_t")), F.get("_t", F.lit(0)), lambda s, t: F.zip_with(s, t, lambda x, y: x + y))
+    return found.select(*by, every.alias("total"), "n")
 
 
 def means(rows: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:

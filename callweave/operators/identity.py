@@ -60,7 +60,7 @@ def bootstrap_me(centroids: DataFrame, threshold: float = 0.55, min_calls: int =
     calls = voice.select("to", "call_id").distinct().groupBy("to").agg(F.count("*").alias("n_samples"))
     top = cut(calls.orderBy(F.desc("n_samples"), "to").limit(1))
     mean = means(voice.join(F.broadcast(top), "to"), ["to", "n_samples"], "v").select(F.col("mean").alias("mean_embedding"), "n_samples")
-    total = centroids.agg(F.count_distinct("call_id").alias("total"))
+    total = rows.agg(F.count_distinct("call_id").alias("total"))
     return mean.join(total).where((F.col("total") >= min_calls) & (F.col("n_samples") >= F.greatest(F.lit(3), F.floor(F.col("total") * 0.2)))).drop("total")
 
 
